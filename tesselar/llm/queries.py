@@ -7,12 +7,49 @@ from pyspark.sql import DataFrame, SparkSession
 from tesselar.llm.common import table
 
 
+def vocabulary() -> str:
+    """The public byte-level BPE file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselar.llm.warc import archive
+
+    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselar.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselar.llm.exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselar.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselar.llm.bpe_automaton import digests
+
+    return digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselar.llm.packing import best_fit
+
+    return best_fit(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselar.llm.quality_rules import quality_rules
 
@@ -21,5 +58,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_language_id, op4_exact_dedup, op5_simhash, op6_bpe_automaton, op7_packing, op9_quality_rules)}
 ORACLES: dict[str, str] = {}

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselar.llm.chunks import Memo, cut
+from tesselar.llm.memo import Memo
 
 # Fixed value: how byte-level BPE splits a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -59,10 +59,12 @@ class Automaton:
             u, v = (bytes(letters[c] for c in t) for t in (merge.split(" ") if isinstance(merge, str) else merge))
             if u in self.ids and v in self.ids and (w := ids.get(u + v)) is not None:
                 self.gadget(when, self.ids[u], self.ids[v], w, u + v)
-        self.longest = max(map(len, self.ids))
+        self.reach: dict[bytes, int] = {}  # by its first four bytes, how long a token can be
+        for token in self.ids:
+            self.reach[token[:4]] = max(len(token), self.reach.get(token[:4], 3))
         self.word = regex.compile(WORDS)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.memo = Memo(lambda chunks: [self.chunk(c) for c in chunks])
+        self.memo = Memo(lambda words: [self.known(w) for w in words])
 
     def gadget(self, when: int, u: int, v: int, w: int, text: bytes) -> None:
         if self.arc(u, v, when):  # else no path reads u v, and w gets no arc
@@ -99,53 +101,63 @@ class Automaton:
 
     def encode_word(self, word: bytes) -> list[int]:
         """The arcs of the one accepting path whose labels spell the word."""
-        if (whole := self.ids.get(word)) is not None:
+        ids, reach, table, n = self.ids, self.reach, self.table, len(word)
+        if (whole := ids.get(word)) is not None:
             return [whole]
-        ids, n = self.ids, len(word)
         path: list[int] = []
-        ends, tries, dead = [0], [min(n, self.longest)], set()
-        while ends[-1] < n:
-            at, state = ends[-1], path[-1] if path else START
-            for size in range(tries[-1], 0, -1):
+        starts: list[int] = []  # where each token of the path starts
+        dead: set[tuple[int, int]] = set()  # (end, token) that no path goes on from
+        at, state, size = 0, START, min(n, reach.get(word[:4], 3))
+        while at < n:
+            while size:
                 token = ids.get(word[at : at + size])
-                if token is not None and (at + size, token) not in dead and self.step(state, token):
-                    tries[-1] = size - 1
-                    path.append(token)
-                    ends.append(at + size)
-                    tries.append(min(n - at - size, self.longest))
-                    break
-            else:
-                if not path:
-                    raise ValueError("the vocabulary can't spell this word")
+                if token is not None:
+                    go = table.get((state, token))
+                    if go is None:
+                        go = self.step(state, token)
+                    if go and not (dead and (at + size, token) in dead):
+                        break
+                size -= 1
+            if size:
+                path.append(token)
+                starts.append(at)
+                at, state = at + size, token
+                size = min(n - at, reach.get(word[at : at + 4], 3))
+            elif path:  # a dead end: the token before was too long
                 dead.add((at, path.pop()))
-                ends.pop()
-                tries.pop()
+                start = starts.pop()
+                at, state, size = start, path[-1] if path else START, at - start - 1
+            else:
+                raise ValueError("the vocabulary can't spell this word")
         return path
 
+    def words(self, text: str) -> Iterator[list[str]]:
+        """The words of a text by pre-tokenization, special tokens being words of their own."""
+        if self.specials and self.specials.search(text):
+            for part in self.specials.split(text):
+                yield [part] if part in self.special else self.word.findall(part)
+        else:
+            yield self.word.findall(text)
+
     def encode_text(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part in self.specials.split(text) if self.specials else [text]:
-            if part in self.special:
-                out.append(self.special[part])
-            else:
-                for word in self.word.findall(part):
-                    out += self.encode_word(word.encode("utf-8", "replace"))
-        return out
+        return [i for part in self.words(text) for ids in self.memo(part) for i in ids[0]]
 
     def decode(self, ids: list[int]) -> bytes:
         """The labels of the arcs, one after another."""
         return b"".join([self.label[i] for i in ids])
 
-    def chunk(self, text: str) -> tuple[int, str, bytes]:
-        ids = self.encode_text(text)
-        return len(ids), ",".join(map(str, ids)), self.decode(ids)
+    def known(self, word: str) -> tuple[list[int], str, bytes]:
+        """A word's ids, the same as text, and what they decode to."""
+        ids = [self.special[word]] if word in self.special else self.encode_word(word.encode("utf-8", "replace"))
+        return ids, ",".join(map(str, ids)), self.decode(ids)
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the decimal ids, SHA-256 of the decoded text."""
-        found = self.memo(cut(text))
-        raw = b"".join([f[2] for f in found]).decode("utf-8", "replace").encode()
-        ids = ",".join([f[1] for f in found]).encode()
-        return sum([f[0] for f in found]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()
+        found = [w for part in self.words(text) for w in self.memo(part)]
+        ids = ",".join([w[1] for w in found])
+        raw = b"".join([w[2] for w in found]).decode("utf-8", "replace").encode()
+        n = ids.count(",") + 1 if ids else 0
+        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
 
 
 _automata: dict[str, Automaton] = {}

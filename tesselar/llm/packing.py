@@ -11,6 +11,7 @@ their length, counted by (block, length) and prefix sums, so that one frequent l
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tesselar.llm.chunks import Memo, cut
+from tesselar.llm.bpe_automaton import WORDS, byte_letters
 from tesselar.llm.common import shuffle_partitions, stored
 
 CAP = 2048
@@ -29,18 +30,32 @@ END_ID = 0
 
 
 def tokenizer(path: str):
-    """text -> little-endian unsigned 32-bit ids, by the tokenizers library with a memo of chunks."""
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.no_padding()
-    tok.no_truncation()
+    """text -> ids of a byte-level BPE file of the tokenizers library, as little-endian unsigned 32-bit integers.
 
-    def many(chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
+    The ids of such a file are in the order of its merges, so they serve as tiktoken's ranks, which encodes the
+    same ids about three times as fast; texts that its pattern matcher gives up on go through tokenizers.
+    """
+    import tiktoken
+    from tokenizers import Tokenizer
 
-    memo = Memo(many)
-    return lambda text: b"".join(memo(cut(text)))
+    slow = Tokenizer.from_file(path)
+    slow.no_padding()
+    slow.no_truncation()
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    letters = byte_letters()
+    ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    fast = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(text: str) -> bytes:
+        try:
+            ids = fast.encode_to_numpy(text, allowed_special="all")
+        except Exception:  # noqa: BLE001  a limit of the matcher on extreme texts
+            ids = np.array(slow.encode(text, add_special_tokens=False).ids)
+        return ids.astype("<u4").tobytes()
+
+    return encode
 
 
 _tokenizers: dict[str, object] = {}

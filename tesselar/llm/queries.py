@@ -50,6 +50,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselar.llm.site_style import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselar.llm.quality_rules import quality_rules
 
@@ -58,5 +64,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_language_id, op4_exact_dedup, op5_simhash, op6_bpe_automaton, op7_packing, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_language_id, op4_exact_dedup, op5_simhash, op6_bpe_automaton, op7_packing, op8_site_style, op9_quality_rules)}
 ORACLES: dict[str, str] = {}

@@ -64,5 +64,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_language_id, op4_exact_dedup, op5_simhash, op6_bpe_automaton, op7_packing, op8_site_style, op9_quality_rules)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselar.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_warc, op3_language_id, op4_exact_dedup, op5_simhash, op6_bpe_automaton, op7_packing, op8_site_style, op9_quality_rules, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {}

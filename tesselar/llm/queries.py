@@ -14,6 +14,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselar.llm.pii import surrogates
+
+    return surrogates(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselar.llm.warc import archive
 
@@ -70,5 +76,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_language_id, op4_exact_dedup, op5_simhash, op6_bpe_automaton, op7_packing, op8_site_style, op9_quality_rules, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_language_id, op4_exact_dedup, op5_simhash, op6_bpe_automaton, op7_packing, op8_site_style, op9_quality_rules, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {}

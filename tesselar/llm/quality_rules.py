@@ -44,10 +44,12 @@ def _repeat_words(words: Column, n: Column) -> Column:
     return F.when(n < 4, F.array().cast("array<bigint>")).otherwise(grams)
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """id, lang and the counts of every document; null text counts as no words."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_row: bool = False) -> DataFrame:
+    """id, lang and the counts of every document; null text counts as no words.  with_row adds the input row as a struct."""
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if with_row else []
     text, lang = F.coalesce(F.col(text_col), F.lit("")), F.col(lang_col)
-    df = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), text.alias("t"))
+    df = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), text.alias("t"), *row)
+    row = ["row"] if with_row else []
     df = df.withColumn("w", F.filter(F.split("t", WHITE + "+"), lambda x: x != ""))
     df = df.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumn("n", F.size("w"))
@@ -76,7 +78,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         _removed(F.col("t"), r"[^\x00-\x7F]+").cast("long").alias("other"),
         _removed(F.col("t"), "[0-9]+").cast("long").alias("digit"),
         _removed(F.col("t"), r"[!\x22'()+,\-./:;=?@\[\\\]^_`{}~]+").cast("long").alias("punct"),
-        counts.alias("listed"),
+        counts.alias("listed"), *row,
     )
     df = df.withColumn("white", F.col("n_chars") - F.col("word_chars")).withColumn("symbol", F.col("n_symbols"))
     rest = [F.col(c) for c in CLASSES[1:]]
@@ -85,7 +87,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return df.select(
         "id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars",
         F.array(*[F.col(c) for c in CLASSES]).alias("chars"),
-        F.when(F.col("listed").isNotNull(), F.concat(F.col("listed").cast("array<bigint>"), F.array(others))).alias("common"),
+        F.when(F.col("listed").isNotNull(), F.concat(F.col("listed").cast("array<bigint>"), F.array(others))).alias("common"), *row,
     )
 
 
@@ -117,12 +119,23 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     judged alike; an empty table gives no rows; other columns are ignored.
     """
     found = stored(features(docs, id_col, text_col, lang_col), "quality-features")
-    df = found.join(F.broadcast(references(found)), "lang", "left")
+    return judged(found, references(found)).select(
+        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "class_distance", "word_distance",
+    )
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that quality_rules keeps, with all their columns; rows are judged one by one."""
+    found = stored(features(docs, id_col, text_col, lang_col, with_row=True), "quality-features")
+    return judged(found, references(found)).where("kept").select("row.*")
+
+
+def judged(found: DataFrame, refs: DataFrame) -> DataFrame:
+    """found with base_failed, kept and the distances."""
+    df = found.join(F.broadcast(refs), "lang", "left")
     df = df.withColumn("class_distance", F.when(F.col("n_chars") >= MIN_CLASS_CHARS, js_distance(F.col("chars"), F.col("ref_chars"))))
     df = df.withColumn("word_distance", F.when(F.col("n_words") >= MIN_COMMON_WORDS, js_distance(F.col("common"), F.col("ref_common"))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     close = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
-    return df.select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & close).alias("kept"), "class_distance", "word_distance",
-    )
+    return df.withColumns({"base_failed": failed, "kept": ~failed & close})

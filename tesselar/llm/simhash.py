@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import join_stats, stored
+from tesselar.llm.common import WHITE, ascii_lower, join_stats, stored
 
 SEED = 42
 SHARD_ROWS = 4000
@@ -204,3 +204,47 @@ def near_duplicates(
     out = join_stats(found.where("id IS NOT NULL"), stats, ["fp"], "n", total).select("id", "fp", "component_id")
     out = out.unionByName(found.where("id IS NULL").withColumn("component_id", F.lit(None).cast("long")))
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def shingle_set(text: Column, width: int = 5) -> Column:
+    """Distinct 64-bit hashes of the word shingles of a text, A-Z lower-cased; fewer words make one shingle."""
+    words = F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), WHITE + "+"), lambda w: w != "")
+    last = F.size(words) - width
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, F.lit(width)), " ")))
+    return F.array_distinct(grams)
+
+
+def leaders(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8,
+    code_width: int = 2, radius: int = 6, agree: int = 2,
+) -> DataFrame:
+    """(id_col, leader) of every row with an id whose text is a near copy of another's: leader is the row that stays.
+
+    Candidates are the components of SimHash fingerprints over code_width-word shingles within radius bits, a
+    distance that most texts of Jaccard similarity 0.8 on five words keep to.  Inside a component the row with the
+    smallest id leads, rows whose width-word shingle sets are at least `similarity` like the leader's follow it,
+    and the rest choose again, until every row leads or follows: a follower is always verified against its leader.
+    """
+    found = near_duplicates(docs, id_col, text_col, code_width, radius, agree).where("component_id IS NOT NULL")
+    found = found.select(F.col(id_col).alias("id"), "component_id").distinct()
+    groups = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
+    groups = stored(groups, "candidate-groups")
+    members = join_stats(found, groups, ["component_id"], "n", found.count()).drop("n")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    members = members.join(texts, "id").select("id", "component_id", shingle_set(F.col("text"), width).alias("shingles"))
+    members = stored(members.dropDuplicates(["id"]), "members")
+    followers = None
+    while not members.isEmpty():
+        heads = members.groupBy("component_id").agg(F.min_by(F.struct("id", "shingles"), "id").alias("head"), F.count("*").alias("n"))
+        heads = stored(heads.where("n > 1").select("component_id", F.col("head.id").alias("leader"), F.col("head.shingles").alias("led"), "n"), "leaders")
+        total = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        pairs = join_stats(members, heads, ["component_id"], "n", total).where("id != leader")
+        both = F.size(F.array_intersect("shingles", "led"))
+        near = both >= F.lit(similarity) * (F.size("shingles") + F.size("led") - both)
+        pairs = stored(pairs.select("id", "component_id", "shingles", "leader", near.alias("near")), "verified")
+        new = pairs.where("near").select("id", "leader")
+        followers = new if followers is None else followers.unionByName(new)
+        members = pairs.where("NOT near").select("id", "component_id", "shingles")
+    if followers is None:
+        followers = members.select("id", F.col("id").alias("leader"))
+    return followers.select(F.col("id").alias(id_col), "leader")

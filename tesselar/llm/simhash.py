@@ -206,12 +206,14 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: Column, width: int = 5) -> Column:
-    """Distinct 64-bit hashes of the word shingles of a text, A-Z lower-cased; fewer words make one shingle."""
-    words = F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), WHITE + "+"), lambda w: w != "")
-    last = F.size(words) - width
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, F.lit(width)), " ")))
-    return F.array_distinct(grams)
+def with_shingles(rows: DataFrame, text_col: str, width: int = 5) -> DataFrame:
+    """rows with `shingles`, the distinct 64-bit hashes of the word shingles of text_col, A-Z lower-cased; fewer
+    words make one shingle."""
+    words = F.filter(F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), WHITE + "+"), lambda w: w != "")
+    rows = rows.withColumn("__words", words)  # a column of its own, so that it is split once a row
+    last = F.greatest(F.size("__words") - width, F.lit(0))
+    grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_join(F.slice("__words", i + 1, F.lit(width)), " ")))
+    return rows.withColumn("shingles", F.array_distinct(grams)).drop("__words")
 
 
 def leaders(
@@ -231,8 +233,8 @@ def leaders(
     groups = stored(groups, "candidate-groups")
     members = join_stats(found, groups, ["component_id"], "n", found.count()).drop("n")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    members = members.join(texts, "id").select("id", "component_id", shingle_set(F.col("text"), width).alias("shingles"))
-    members = stored(members.dropDuplicates(["id"]), "members")
+    members = with_shingles(members.join(texts, "id").dropDuplicates(["id"]), "text", width)
+    members = stored(members.select("id", "component_id", "shingles"), "members")
     followers = None
     while not members.isEmpty():
         heads = members.groupBy("component_id").agg(F.min_by(F.struct("id", "shingles"), "id").alias("head"), F.count("*").alias("n"))

@@ -12,12 +12,12 @@ A byte goes if a WINDOW-byte string over it also starts in a document with a sma
    arrives as one record per task.
 2. Suffixes at the edges of matches.  Where one anchor has different segments whose bytes to its left or right
    agree, their windows may still be shared in part.  These windows, of the smallest id of each such segment, are
-   the suffixes of a second array: all WINDOW bytes are its key words, again with splitters and multikey
-   quicksort, and a suffix that a smaller id has is marked.
+   the suffixes of a second array, keyed by their leading bytes and a 64-bit hash of the rest of the window, again
+   with splitters and multikey quicksort, and a suffix that a smaller id has is marked.
 3. Marks and covered segments meet their document, overlapping spans are merged and cut out.
 
-Every string comparison beyond the candidates is on whole windows or on 48-bit hashes within groups of one gram;
-nothing is capped.  Texts are shuffled once (2 and 3 share the exchange).  Long texts are worked on in pieces.
+Segments are compared by 56-bit hashes among those of one gram, windows by 64-bit hashes among those of the same
+leading bytes; nothing is capped.  Texts are shuffled once (2 and 3 share the exchange).  Long texts are worked on in pieces.
 """
 
 from __future__ import annotations
@@ -37,9 +37,9 @@ from tesselar.llm.common import shuffle_partitions, stored
 WINDOW = 50
 GRAM = 16
 SPAN = WINDOW - GRAM + 1  # anchor positions of a window
-PIECE = 1 << 20  # bytes worked on at a time
-FLUSH = 600_000  # records gathered before they are dealt to buckets
-BUCKET = 250_000  # records of a bucket, about
+PIECE = 1 << 18  # bytes worked on at a time
+FLUSH = 300_000  # records gathered before they are dealt to buckets
+BUCKET = 500_000  # records of a bucket, about
 SAMPLE_DOCS, SAMPLE_ANCHORS = 2000, 40_000
 
 _U = np.uint64
@@ -99,11 +99,11 @@ class Segments:
         power, inverse = _power_tables()
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * power[: len(b)], dtype=np.uint64)])
         rolled = (total[stop] - total[self.start]) * inverse[self.start]
-        self.hash = _mixed(rolled + (self.anchor - self.start).astype(np.uint64) * _U(0xD6E8FEB86659FD93) + self.n.astype(np.uint64)) >> _U(16)
-        self.gram = gram[self.anchor] >> _U(16)
+        self.hash = _mixed(rolled + (self.anchor - self.start).astype(np.uint64) * _U(0xD6E8FEB86659FD93) + self.n.astype(np.uint64)) >> _U(8)
+        self.gram = gram[self.anchor] & _U(0xFFFFFFFF)  # the bits that didn't choose the anchor
         self.lead = w[self.anchor].byteswap()
         # a shared window has 17 bytes or more in common on one side of the anchor
-        side = lambda long, at: np.where(long, (gram[np.clip(at, 0, len(gram) - 1)] & _U(0xFF)) | _U(0x100), _U(0))
+        side = lambda long, at: np.where(long, gram[np.clip(at, 0, len(gram) - 1)] % _U(255) + _U(1), _U(0))
         self.left = side(self.anchor - self.start >= 17, self.anchor - GRAM)
         self.right = side(stop - self.anchor - GRAM >= 17, self.anchor + GRAM)
 
@@ -194,9 +194,8 @@ def unpack(blob: bytes, widths: list[int]) -> list[np.ndarray]:
 
 DEALT = "bucket int, ids binary, rows binary"
 SPANS = "id long, v long, kind int, start long, size int"
-ANCHOR_WIDTHS = [6, 6, 3, 5, 2, 2, 2]  # gram, segment, row, start, windows, left, right
-SUFFIX_WORDS = (WINDOW + 7) // 8
-SUFFIX_WIDTHS = [8] * SUFFIX_WORDS + [3, 5]  # words, row, start
+ANCHOR_WIDTHS = [4, 7, 3, 5, 1, 1, 1]  # gram, segment, row, start, windows, left, right
+SUFFIX_WIDTHS = [8, 8, 3, 5]  # leading bytes, hash of the rest, row, start
 
 
 def _deal(bucket: np.ndarray, ids: list[tuple[int, int]], row: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> Iterator[tuple[int, bytes, bytes]]:
@@ -208,7 +207,7 @@ def _deal(bucket: np.ndarray, ids: list[tuple[int, int]], row: np.ndarray, colum
         rows = order[lo:hi]
         used, local = np.unique(row[rows], return_inverse=True)
         packed = [(local.astype(np.uint64) if c is row else c[rows], width) for c, width in columns]
-        yield int(bucket[rows[0]]), table[used].tobytes(), pack(packed)
+        yield int(bucket[rows[0]]), _PACK.compress(np.ascontiguousarray(table[used].T).tobytes()), pack(packed)
 
 
 def _dealt(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
@@ -231,7 +230,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], widths: list[int]) -> Iterator[
                 yield joined()
                 held = []
             bucket = k
-            held.append((np.frombuffer(ids, np.int64).reshape(-1, 2), unpack(rows, widths)))
+            held.append((np.frombuffer(_UNPACK.decompress(ids), np.int64).reshape(2, -1).T, unpack(rows, widths)))
     if held:
         yield joined()
 
@@ -244,9 +243,16 @@ def _spans(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000].astype(t.to_pandas_dtype()), t) for c, t in zip(columns, types)], ["id", "v", "kind", "start", "size"])
 
 
-def _texts(batch: pa.RecordBatch) -> list[tuple[int, int, bytes]]:
-    """(id, v, text) of each row; v tells texts of one id apart."""
-    return [(i, zlib.crc32(t), t) for i, t in zip(batch.column(0).to_pylist(), (x.encode("utf-8", "surrogatepass") if x else b"" for x in batch.column(1).to_pylist()))]
+def _texts(batch: pa.RecordBatch, versions: bool = False) -> list[tuple[int, int, bytes]]:
+    """(id, v, text) of each row; v tells texts of one id apart, if there are such."""
+    return [(i, zlib.crc32(t) if versions else 0, t) for i, t in zip(batch.column(0).to_pylist(), (x.encode("utf-8", "surrogatepass") if x else b"" for x in batch.column(1).to_pylist()))]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Fewer rows at a time, as texts are large."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
 
 
 def splitters(rows: DataFrame, total: int, buckets: int) -> np.ndarray:
@@ -266,7 +272,7 @@ def splitters(rows: DataFrame, total: int, buckets: int) -> np.ndarray:
     return np.unique(lead[np.arange(1, buckets) * len(lead) // buckets]) if len(lead) else np.zeros(0, np.uint64)
 
 
-def covered_segments(rows: DataFrame, cuts: np.ndarray) -> DataFrame:
+def covered_segments(rows: DataFrame, cuts: np.ndarray, versions: bool) -> DataFrame:
     """SPANS of kind 0 (covered bytes) and kind 1 (window starts to be compared one by one)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,13 +294,13 @@ def covered_segments(rows: DataFrame, cuts: np.ndarray) -> DataFrame:
                 out.append((-1 - int(key[gone[0]]) % 997, b"", spans.tobytes()))
             bucket = np.searchsorted(cuts, lead[keep], side="right")
             row = row[keep]
-            columns = [(c[keep], w) for c, w in ((gram, 6), (seg, 6))] + [(row, 3)] + [(c[keep], w) for c, w in ((start, 5), (n, 2), (left, 2), (right, 2))]
+            columns = [(row if c is None else c[keep], w) for c, w in zip((gram, seg, None, start, n, left, right), ANCHOR_WIDTHS)]
             out += _deal(bucket, ids, row, columns)
             held.clear()
             yield _dealt(out)
 
-        for b in batches:
-            texts = _texts(b)
+        for b in _slices(batches):
+            texts = _texts(b, versions)
             if not held:
                 ids.clear()
             base = len(ids)
@@ -349,7 +355,7 @@ def covered_segments(rows: DataFrame, cuts: np.ndarray) -> DataFrame:
     return rows.mapInArrow(deal, DEALT).repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, SPANS)
 
 
-def shared_suffixes(texts: DataFrame, wanted: DataFrame, cuts: np.ndarray) -> DataFrame:
+def shared_suffixes(texts: DataFrame, wanted: DataFrame, cuts: np.ndarray, versions: bool) -> DataFrame:
     """SPANS (kind 0) of the wanted windows that a smaller id has too, by a suffix array of these windows."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,14 +364,14 @@ def shared_suffixes(texts: DataFrame, wanted: DataFrame, cuts: np.ndarray) -> Da
 
         def flush() -> Iterator[pa.RecordBatch]:
             *words, row, start = (np.concatenate(c) for c in zip(*held))
-            columns = [(w, 8) for w in words] + [(row, 3), (start, 5)]
+            columns = list(zip((*words, row, start), SUFFIX_WIDTHS))
             out = list(_deal(np.searchsorted(cuts, words[0], side="right"), ids, row, columns))
             ids.clear(), held.clear()
             yield _dealt(out)
 
-        for b in batches:
+        for b in _slices(batches):
             asked = b.column(2).to_pylist()
-            for (id_, v, text), spans in zip(_texts(b), asked):
+            for (id_, v, text), spans in zip(_texts(b, versions), asked):
                 spans = [s for s in spans if s["v"] == v]
                 if not spans:
                     continue
@@ -378,9 +384,12 @@ def shared_suffixes(texts: DataFrame, wanted: DataFrame, cuts: np.ndarray) -> Da
                     raw = np.frombuffer(text, np.uint8)
                     # key words of a window: bytes from 0, 8, ..., the last word ending with the window
                     ends = [*range(0, WINDOW - 8, 8), WINDOW - 8]
-                    words = [np.ascontiguousarray(raw[at[:, None] + np.arange(e, e + 8)]).view(">u8").ravel().astype(np.uint64) for e in ends]
-                    held.append([*words, np.full(len(at), len(ids) - 1, np.uint64), at.astype(np.uint64)])
-                if sum(len(h[0]) for h in held) >= FLUSH // 4:
+                    lead, *rest = (np.ascontiguousarray(raw[at[:, None] + np.arange(e, e + 8)]).view(">u8").ravel().astype(np.uint64) for e in ends)
+                    tail = rest[0]
+                    for w in rest[1:]:
+                        tail = _mixed(tail) * _U(0xD6E8FEB86659FD93) + w
+                    held.append([lead, _mixed(tail), np.full(len(at), len(ids) - 1, np.uint64), at.astype(np.uint64)])
+                if sum(len(h[0]) for h in held) >= FLUSH // 2:
                     yield from flush()
         if held:
             yield from flush()
@@ -393,7 +402,7 @@ def shared_suffixes(texts: DataFrame, wanted: DataFrame, cuts: np.ndarray) -> Da
             yield from _spans([(id_[gone], v[gone], 0, start[gone], np.full(int(gone.sum()), WINDOW))])
 
     per_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("v", "start", "size")).alias("spans"))
-    joined = texts.join(per_doc.hint("shuffle_hash"), "id").select("id", "text", "spans")
+    joined = texts.join(per_doc.hint("shuffle_hash"), "id").select("id", "body", "spans")
     p = shuffle_partitions(texts.sparkSession)
     return joined.mapInArrow(deal, DEALT).repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, SPANS)
 
@@ -415,22 +424,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     remove from each other, and repeated rows are alike; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     named = rows.where("id IS NOT NULL")
-    total, size = named.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    buckets = max(4 * shuffle_partitions(spark), size * 2 // (SPAN + 1) // BUCKET)
+    total, size = named.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()
+    buckets = max(2 * shuffle_partitions(spark), size * 2 // (SPAN + 1) // BUCKET)
+    versions = not named.groupBy("id").count().where("count > 1").isEmpty()
     cuts = splitters(named, total, buckets)
-    spans = stored(covered_segments(named, cuts), "segments")
+    spans = stored(covered_segments(named, cuts, versions), "segments")
     texts = named.repartition(shuffle_partitions(spark), "id")
-    marks = shared_suffixes(texts, spans.where("kind = 1"), cuts)
+    marks = shared_suffixes(texts, spans.where("kind = 1"), cuts, versions)
     gone = spans.where("kind = 0").unionByName(marks).groupBy("id").agg(F.collect_list(F.struct("v", "start", "size")).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             lists, out = b.column(2), []
-            at = lists.offsets.to_numpy()
+            at = lists.offsets.to_numpy()  # into the whole batch's values
             v_, start, size = (lists.values.field(k).to_numpy().astype(np.int64) for k in range(3))
-            for k, (id_, v, text) in enumerate(_texts(b)):
+            for k, (id_, v, text) in enumerate(_texts(b, versions)):
                 own = np.arange(at[k], at[k + 1]) if lists[k].is_valid else np.zeros(0, np.int64)
                 own = own[v_[own] == v]
                 runs = merged(start[own], size[own])
@@ -440,7 +450,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols = list(zip(*out)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    done = texts.join(gone.hint("shuffle_hash"), "id", "left").select("id", "text", "spans")
+    done = texts.join(gone.hint("shuffle_hash"), "id", "left").select("id", "body", "spans")
     nameless = rows.where("id IS NULL").withColumn("spans", F.lit(None).cast("array<struct<v:bigint,start:bigint,size:int>>"))
     out = done.unionByName(nameless).mapInArrow(finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))

@@ -103,7 +103,11 @@ def validate(topology: Topology) -> Topology:
         ("OverlappingChunks", overlapping_pairs(boxes)),
         ("NonCoveringChunks", uncovered_volume(boxes)),
     ]
-    for code, violators in rules:
-        if (row := violators.orderBy("name").first()) is not None:
-            raise TopologyError(code, ", ".join(f"{k}={v}" for k, v in row.asDict().items()))
+    found = None  # one job for all rules
+    for k, (code, violators) in enumerate(rules):
+        detail = F.to_json(F.struct(*violators.columns)).alias("detail")
+        part = violators.select(F.lit(k).alias("rule"), F.lit(code).alias("code"), "name", detail)
+        found = part if found is None else found.unionByName(part)
+    if (row := found.orderBy("rule", "name").first()) is not None:
+        raise TopologyError(row["code"], row["detail"])
     return topology

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesselar.llm import quality_rules as rules
+from tesselar.llm import sql
 from tesselar.llm.common import table
 
 
@@ -23,7 +25,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselar.llm.warc import archive
 
-    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp")
+    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +79,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_language_id, op4_exact_dedup, op5_simhash, op6_bpe_automaton, op7_packing, op8_site_style, op9_quality_rules, op10_suffix_dedup)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": sql.WARC,
+    "op4_exact_dedup": sql.EXACT,
+    "op9_quality_rules": sql.quality(
+        rules.COMMON_WORDS,
+        {
+            "chars": rules.MIN_CLASS_CHARS, "words": rules.MIN_COMMON_WORDS, "min_words": rules.MIN_WORDS, "repeat": rules.MAX_REPEAT_PERCENT,
+            "class": rules.MAX_CLASS_DISTANCE, "common": rules.MAX_WORD_DISTANCE,
+        },
+    ),
+}

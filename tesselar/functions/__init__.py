@@ -1 +1 @@
-
+"""Boxes and element types as Columns."""

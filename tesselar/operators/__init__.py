@@ -1 +1 @@
-
+"""Checks, slices and re-sharding."""

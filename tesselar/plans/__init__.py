@@ -1 +1 @@
-
+"""Topologies, layouts and copy plans."""

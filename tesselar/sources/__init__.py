@@ -1 +1 @@
-
+"""Reading and writing tensor files."""

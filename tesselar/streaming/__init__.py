@@ -1 +1 @@
-
+"""Nothing here: the data model has no streams (a checkpoint is a finished set of files)."""

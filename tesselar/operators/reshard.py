@@ -52,12 +52,14 @@ def file_headers(target: Topology, metadata: dict[str, str] | None = None) -> Da
     return df.withColumn("header", F.concat("header", F.repeat(F.lit(" "), F.pmod(-n, F.lit(8)))))
 
 
-def redistribute(spark: SparkSession, source_dir: str, target_dir: str, target: Topology, metadata: dict[str, str] | None = None) -> list[str]:
+def redistribute(
+    spark: SparkSession, source_dir: str, target_dir: str, target: Topology, metadata: dict[str, str] | None = None, source: Topology | None = None
+) -> list[str]:
     """Write target_dir from source_dir; the created file names, with the manifest if there are several ranks."""
-    source = load_topology(spark, source_dir)
-    validate(target)
+    source = source or load_topology(spark, source_dir)
+    target = validate(target.kept())
     files = with_paths(source.files, source_dir)
-    plan = copy_plan(source, headers(spark, files), target)
+    plan = copy_plan(source, headers(spark, files).cache(), target)
     paths = files.select(F.col("file_idx").alias("src_file"), F.col("path").alias("src"))
     rows = file_headers(target, metadata).join(plan, F.col("file_idx") == F.col("tgt_file"), "left").join(paths, "src_file", "left")
     rows = rows.select("file_idx", "filename", "header", F.coalesce("tgt_pos", F.lit(0)).cast("bigint").alias("seq"), "src", F.col("src_start"), F.col("src_end").alias("src_stop"))
@@ -72,9 +74,11 @@ def redistribute(spark: SparkSession, source_dir: str, target_dir: str, target:
 
 def fuse(spark: SparkSession, source_dir: str, target_dir: str) -> list[str]:
     """All tensors whole in one file."""
-    return redistribute(spark, source_dir, target_dir, fused_topology(load_topology(spark, source_dir)))
+    source = load_topology(spark, source_dir)
+    return redistribute(spark, source_dir, target_dir, fused_topology(source), source=source)
 
 
 def reshard(spark: SparkSession, source_dir: str, target_dir: str, world_size: int, max_shard_bytes: int = MAX_SHARD_BYTES) -> list[str]:
     """A chunk per rank and tensor by the split rules, in size-capped files."""
-    return redistribute(spark, source_dir, target_dir, split_topology(load_topology(spark, source_dir), world_size, max_shard_bytes))
+    source = load_topology(spark, source_dir)
+    return redistribute(spark, source_dir, target_dir, split_topology(source, world_size, max_shard_bytes), source=source)

@@ -24,7 +24,7 @@ def parse_manifest(text: DataFrame) -> Topology:
     zeros = F.transform("t.shape", lambda _: F.lit(0).cast("bigint"))
     whole = each.select("name", F.lit("Shared").alias("kind"), F.posexplode("t.filename_indices").alias("chunk_idx", "file_idx"), zeros.alias("offsets"), F.col("t.shape").alias("shape"))
     files = row.select(F.posexplode("filenames").alias("file_idx", "filename"))
-    return validate(Topology(tensors, split.unionByName(whole.select(split.columns)), files, world_size))
+    return validate(Topology(tensors, split.unionByName(whole.select(split.columns)), files, world_size).kept())
 
 
 def shared_topology(found: DataFrame, files: DataFrame) -> Topology:
@@ -32,7 +32,7 @@ def shared_topology(found: DataFrame, files: DataFrame) -> Topology:
     zeros = F.transform("shape", lambda _: F.lit(0).cast("bigint"))
     tensors = found.select("name", F.lit("Shared").alias("kind"), "shape", "dtype")
     chunks = found.select("name", F.lit("Shared").alias("kind"), F.lit(0).alias("chunk_idx"), zeros.alias("offsets"), "shape", "file_idx")
-    return validate(Topology(tensors, chunks, files, 1))
+    return validate(Topology(tensors, chunks, files, 1).kept())
 
 
 def weight_map_files(entries: DataFrame) -> DataFrame:

@@ -32,3 +32,7 @@ class Topology:
     chunks: DataFrame
     files: DataFrame
     world_size: int
+
+    def kept(self) -> Topology:
+        """The same with its frames cached: manifests are small, and every check and plan reads them again."""
+        return Topology(self.tensors.cache(), self.chunks.cache(), self.files.cache(), self.world_size)

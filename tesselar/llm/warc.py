@@ -45,8 +45,8 @@ def _one_line(text: Column) -> Column:
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write one WARC record per row of pages under path.
 
-    A null html is an empty payload; a null URL is an empty target; a null id is an empty page id and never
-    revisited.  Of equal payloads of at least MIN_REVISIT_BYTES the one with the largest id is the response (rows
+    A null html is an empty payload; a null URL is an empty target; a row with a null id is never revisited, but
+    revisits an equal payload that has one.  Of equal payloads of at least MIN_REVISIT_BYTES the one with the largest id is the response (rows
     repeated with that id too) and the others revisit it.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))

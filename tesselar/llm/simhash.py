@@ -41,16 +41,18 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * set_bits > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widths: tuple[int, ...] = (3,)) -> DataFrame:
+    """(id, fp) of every row, and (fp_1, ...) for further shingle widths; fingerprints are signed longs."""
+    names = ["fp", *[f"fp_{k}" for k in range(1, len(widths))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            texts = b.column(1).to_pylist()
+            fps = [np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64) for width in widths]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(f, pa.int64()) for f in fps]], ["id", *names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    return rows.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names))
 
 
 class BKTree:
@@ -85,6 +87,18 @@ class BKTree:
         return found
 
 
+def nearest_links(ids: list[int], codes: list[int], radius: int, seconds: list[int], second_radius: int) -> list[tuple[int, int]]:
+    """For each code, the id of the one before it within the radius whose second code is nearest, if that is within
+    second_radius: a link per code, however dense a group is."""
+    tree, found = BKTree(), []
+    for i, code in enumerate(codes):
+        near = min((((seconds[i] ^ seconds[j]).bit_count(), j) for j in tree.within(code, radius)), default=(65, 0))
+        if near[0] <= second_radius:
+            found.append((ids[i], ids[near[1]]))
+        tree.add(code)
+    return found
+
+
 def shard_links(ids: list[int], codes: list[int], radius: int) -> list[tuple[int, int]]:
     """A spanning star (id, smaller id) of each group of linked codes."""
     tree, root = BKTree(), list(range(len(codes)))
@@ -118,42 +132,51 @@ def _block_keys(fp: Column, radius: int, agree: int, within: Column | None = Non
     return F.array(*[F.xxhash64(*first, F.lit(k), *[block(i) for i in c]) for k, c in enumerate(combinations(range(n), agree))])
 
 
-def links(codes: DataFrame, radius: int = 2, agree: int = 1, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(a, b) links among the distinct fingerprints of codes(id, fp), enough to span each component."""
-    shards = codes.select("id", "fp", F.explode(_block_keys(F.col("fp"), radius, agree)).alias("key"))
+def links(codes: DataFrame, radius: int = 2, agree: int = 1, shard_rows: int = SHARD_ROWS, second_radius: int | None = None) -> DataFrame:
+    """(a, b) links among the distinct fingerprints of codes(id, fp), enough to span each component.
+
+    With second_radius, the link of each fingerprint to the nearest by fp_1 in its shards, if within second_radius.
+    """
+    second = second_radius is not None
+    codes = codes if second else codes.withColumn("fp_1", F.lit(0).cast("long"))
+    shards = codes.select("id", "fp", "fp_1", F.explode(_block_keys(F.col("fp"), radius, agree)).alias("key"))
     several = shards.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = shards.join(several, "key")
     # a hot shard is split by finer blocks: more of them have to agree, within the shard
     finer = F.explode(_block_keys(F.col("fp"), radius, agree + 1, F.col("key"))).alias("key")
-    hot = rows.where(F.col("n") > shard_rows).select("id", "fp", finer)
-    rows = rows.where(F.col("n") <= shard_rows).select("id", "fp", "key").unionByName(hot)
+    hot = rows.where(F.col("n") > shard_rows).select("id", "fp", "fp_1", finer)
+    rows = rows.where(F.col("n") <= shard_rows).select("id", "fp", "fp_1", "key").unionByName(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, codes_ = None, [], []
+        key, ids, codes_, seconds = None, [], [], []
+
+        def ended() -> list[tuple[int, int]]:
+            if len(ids) < 2:
+                return []
+            return nearest_links(ids, codes_, radius, seconds, second_radius) if second else shard_links(ids, codes_, radius)
 
         def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for b in batches:
             found: list[tuple[int, int]] = []
-            k, i, c = (b.column(n).to_numpy() for n in (2, 0, 1))
+            k, i, c, c2 = (b.column(n).to_numpy() for n in (3, 0, 1, 2))
             cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(k)]):
                 if lo == hi:
                     continue
                 if key is not None and k[lo] != key:
-                    if len(ids) > 1:
-                        found += shard_links(ids, codes_, radius)
-                    ids, codes_ = [], []
+                    found += ended()
+                    ids, codes_, seconds = [], [], []
                 key = k[lo]
                 ids += i[lo:hi].tolist()
                 codes_ += c[lo:hi].view(np.uint64).tolist()
+                seconds += c2[lo:hi].view(np.uint64).tolist()
             yield out(found)
-        if len(ids) > 1:
-            yield out(shard_links(ids, codes_, radius))
+        yield out(ended())
 
     dealt = rows.repartition("key").sortWithinPartitions("key", "id")
-    return dealt.select("id", "fp", "key").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("id", "fp", "fp_1", "key").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,6 +209,18 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def code_groups(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, id, n) of the distinct fingerprints of a stored table: smallest id and number of rows."""
+    return stored(found.where("id IS NOT NULL").groupBy(*keys).agg(F.min("id").alias("id"), F.count("*").alias("n")), "codes")
+
+
+def grouped(found: DataFrame, codes: DataFrame, keys: list[str], roots: DataFrame) -> DataFrame:
+    """(id, fp, component_id) of found's rows, given the roots of the codes' ids; null for a null id."""
+    stats = codes.join(roots, codes["id"] == roots["node"], "left").select(*keys, "n", F.coalesce("root", "id").alias("component_id"))
+    out = join_stats(found.where("id IS NOT NULL"), stored(stats, "code-components"), keys, "n", found.count()).select("id", "fp", "component_id")
+    return out.unionByName(found.where("id IS NULL").select("id", "fp", F.lit(None).cast("long").alias("component_id")))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, agree: int = 1, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
@@ -195,14 +230,9 @@ def near_duplicates(
     fingerprint, but neither link nor count in a component (component_id null); repeated rows are alike; an empty
     table gives no rows; other columns are ignored.
     """
-    found = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    codes = found.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    codes = stored(codes, "codes")
-    roots = components(links(codes.select("id", "fp"), radius, agree, shard_rows))
-    total = found.count()
-    stats = stored(codes.join(roots, codes["id"] == roots["node"], "left").select("fp", "n", F.coalesce("root", "id").alias("component_id")), "code-components")
-    out = join_stats(found.where("id IS NOT NULL"), stats, ["fp"], "n", total).select("id", "fp", "component_id")
-    out = out.unionByName(found.where("id IS NULL").withColumn("component_id", F.lit(None).cast("long")))
+    found = stored(fingerprints(docs, id_col, text_col, (width,)), "fingerprints")
+    codes = code_groups(found, ["fp"])
+    out = grouped(found, codes, ["fp"], components(links(codes.select("id", "fp"), radius, agree, shard_rows)))
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -216,37 +246,26 @@ def with_shingles(rows: DataFrame, text_col: str, width: int = 5) -> DataFrame:
     return rows.withColumn("shingles", F.array_distinct(grams)).drop("__words")
 
 
-def leaders(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8,
-    code_width: int = 2, radius: int = 6, agree: int = 2,
-) -> DataFrame:
-    """(id_col, leader) of every row with an id whose text is a near copy of another's: leader is the row that stays.
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 6, agree: int = 2, second_radius: int = 14
+) -> DataFrame:
+    """(id_col, component_id) of the rows whose text is a near copy of one with a smaller id, component_id.
 
-    Candidates are the components of SimHash fingerprints over code_width-word shingles within radius bits, a
-    distance that most texts of Jaccard similarity 0.8 on five words keep to.  Inside a component the row with the
-    smallest id leads, rows whose width-word shingle sets are at least `similarity` like the leader's follow it,
-    and the rest choose again, until every row leads or follows: a follower is always verified against its leader.
+    Candidates have fingerprints over two-word shingles within radius bits, which few edits change.  Each links to
+    the candidate nearest by the fingerprint over five-word shingles, if within second_radius bits, and a link
+    holds if the Jaccard similarity of the two texts' five-word shingles is at least `similarity`.  Groups are the
+    components of the links that hold.  Rows with equal fingerprints of both kinds count as near.  Null ids are in
+    no group.
     """
-    found = near_duplicates(docs, id_col, text_col, code_width, radius, agree).where("component_id IS NOT NULL")
-    found = found.select(F.col(id_col).alias("id"), "component_id").distinct()
-    groups = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
-    groups = stored(groups, "candidate-groups")
-    members = join_stats(found, groups, ["component_id"], "n", found.count()).drop("n")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    members = with_shingles(members.join(texts, "id").dropDuplicates(["id"]), "text", width)
-    members = stored(members.select("id", "component_id", "shingles"), "members")
-    followers = None
-    while not members.isEmpty():
-        heads = members.groupBy("component_id").agg(F.min_by(F.struct("id", "shingles"), "id").alias("head"), F.count("*").alias("n"))
-        heads = stored(heads.where("n > 1").select("component_id", F.col("head.id").alias("leader"), F.col("head.shingles").alias("led"), "n"), "leaders")
-        total = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        pairs = join_stats(members, heads, ["component_id"], "n", total).where("id != leader")
-        both = F.size(F.array_intersect("shingles", "led"))
-        near = both >= F.lit(similarity) * (F.size("shingles") + F.size("led") - both)
-        pairs = stored(pairs.select("id", "component_id", "shingles", "leader", near.alias("near")), "verified")
-        new = pairs.where("near").select("id", "leader")
-        followers = new if followers is None else followers.unionByName(new)
-        members = pairs.where("NOT near").select("id", "component_id", "shingles")
-    if followers is None:
-        followers = members.select("id", F.col("id").alias("leader"))
-    return followers.select(F.col("id").alias(id_col), "leader")
+    keys = ["fp", "fp_1"]
+    found = stored(fingerprints(docs, id_col, text_col, (2, 5)), "fingerprints")
+    codes = code_groups(found, keys)
+    edges = stored(links(codes.drop("n"), radius, agree, second_radius=second_radius), "candidate-links")
+    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    sets = stored(with_shingles(texts.join(ends, "id").dropDuplicates(["id"]), "body").select("id", "shingles"), "shingles")
+    one, other = (sets.select(F.col("id").alias(c), F.col("shingles").alias("s" + c)) for c in ("a", "b"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    held = edges.join(one, "a").join(other, "b").where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both))
+    out = grouped(found, codes, keys, components(held.select("a", "b")))
+    return out.where("id != component_id").select(F.col("id").alias(id_col), "component_id")

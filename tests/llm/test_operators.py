@@ -92,7 +92,7 @@ def linked(items, near):
 
 
 def test_simhash(spark, docs, rows):
-    from tesselar.llm.simhash import leaders, near_duplicates
+    from tesselar.llm.simhash import near_copies, near_duplicates
 
     for radius, agree, shard in ((2, 1, 4000), (2, 1, 2), (6, 2, 4000)):
         fps = {i: fingerprint(t) for i, t, _ in rows if i is not None}
@@ -103,8 +103,8 @@ def test_simhash(spark, docs, rows):
     copies = spark.createDataFrame([(9, prose(300)), (3, "other words " * 40)], "doc_id long, text string")
     text = copies.where("doc_id = 9").first()["text"]
     copies = copies.union(spark.createDataFrame([(10, text + " end"), (11, re.sub("[a-z]", lambda m: m[0].upper(), text))], "doc_id long, text string"))
-    assert {tuple(r) for r in leaders(copies).collect()} == {(10, 9), (11, 9)}
-    assert leaders(copies.limit(0)).count() == 0
+    assert {tuple(r) for r in near_copies(copies).collect()} == {(10, 9), (11, 9)}
+    assert near_copies(copies.limit(0)).count() == 0
 
 
 def test_bk_tree():

@@ -27,12 +27,14 @@ SEED = 42
 SHARD_ROWS = 4000
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64-bit SimHash over the XXH64 of word shingles, A-Z lower-cased; 0 for a text without words."""
+def fingerprint(text: str | None, width: int = 3, repeats: bool = True) -> int:
+    """64-bit SimHash over the XXH64 of word shingles, A-Z lower-cased, each counted once without repeats; 0 for a
+    text without words."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: ASCII letters and ASCII white space only
     if not words:
         return 0
     shingles = zip(*(words[i:] for i in range(width))) if len(words) >= width else [words]
+    shingles = shingles if repeats else set(shingles)
     h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in shingles), np.uint64)
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
@@ -41,14 +43,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * set_bits > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widths: tuple[int, ...] = (3,)) -> DataFrame:
-    """(id, fp) of every row, and (fp_1, ...) for further shingle widths; fingerprints are signed longs."""
-    names = ["fp", *[f"fp_{k}" for k in range(1, len(widths))]]
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[tuple[int, bool], ...] = ((3, True),)) -> DataFrame:
+    """(id, fp) of every row, and (fp_1, ...) for further kinds (shingle width, whether repeats count);
+    fingerprints are signed longs."""
+    names = ["fp", *[f"fp_{k}" for k in range(1, len(kinds))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            fps = [np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64) for width in widths]
+            fps = [np.array([fingerprint(t, *kind) for t in texts], np.uint64).view(np.int64) for kind in kinds]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(f, pa.int64()) for f in fps]], ["id", *names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -230,7 +233,7 @@ def near_duplicates(
     fingerprint, but neither link nor count in a component (component_id null); repeated rows are alike; an empty
     table gives no rows; other columns are ignored.
     """
-    found = stored(fingerprints(docs, id_col, text_col, (width,)), "fingerprints")
+    found = stored(fingerprints(docs, id_col, text_col, ((width, True),)), "fingerprints")
     codes = code_groups(found, ["fp"])
     out = grouped(found, codes, ["fp"], components(links(codes.select("id", "fp"), radius, agree, shard_rows)))
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -247,20 +250,21 @@ def with_shingles(rows: DataFrame, text_col: str, width: int = 5) -> DataFrame:
 
 
 def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 6, agree: int = 2, second_radius: int = 14
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 6, agree: int = 2, second_radius: int = 16
 ) -> DataFrame:
     """(id_col, component_id) of the rows whose text is a near copy of one with a smaller id, component_id.
 
-    Candidates have fingerprints over two-word shingles within radius bits, which few edits change.  Each links to
-    the candidate nearest by the fingerprint over five-word shingles, if within second_radius bits, and a link
-    holds if the Jaccard similarity of the two texts' five-word shingles is at least `similarity`.  Groups are the
-    components of the links that hold.  Rows with equal fingerprints of both kinds count as near.  Null ids are in
-    no group.
+    Candidates have fingerprints within radius bits over two-word shingles or over distinct words, both of which
+    few edits change.  Each links to the candidate nearest by the fingerprint over five-word shingles, if within
+    second_radius bits, and a link holds if the Jaccard similarity of the two texts' five-word shingles is at least
+    `similarity`.  Groups are the components of the links that hold.  Rows with equal fingerprints of all kinds
+    count as near.  Null ids are in no group.
     """
-    keys = ["fp", "fp_1"]
-    found = stored(fingerprints(docs, id_col, text_col, (2, 5)), "fingerprints")
+    keys = ["fp", "fp_1", "fp_2"]
+    found = stored(fingerprints(docs, id_col, text_col, ((2, True), (5, True), (1, False))), "fingerprints")
     codes = code_groups(found, keys)
-    edges = stored(links(codes.drop("n"), radius, agree, second_radius=second_radius), "candidate-links")
+    by = lambda first: links(codes.select("id", F.col(first).alias("fp"), "fp_1"), radius, agree, second_radius=second_radius)
+    edges = stored(by("fp").unionByName(by("fp_2")).distinct(), "candidate-links")
     ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     sets = stored(with_shingles(texts.join(ends, "id").dropDuplicates(["id"]), "body").select("id", "shingles"), "shingles")

@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,13 +40,20 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def recent_letters() -> frozenset[str]:
+    """The letters and numbers that the pattern matcher knows but Python's older Unicode tables don't: other libraries
+    may not know them either."""
+    unknown = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cn")
+    return frozenset(regex.findall(r"[\p{L}\p{N}]", unknown))
+
+
 class Automaton:
     """Compiled from the vocabulary and merges of a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters = byte_letters()
+        letters = self.letters = byte_letters()
         ids = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.label = {i: t for t, i in ids.items()} | {i: t.encode() for t, i in self.special.items()}
@@ -63,6 +72,7 @@ class Automaton:
         for token in self.ids:
             self.reach[token[:4]] = max(len(token), self.reach.get(token[:4], 3))
         self.word = regex.compile(WORDS)
+        self.recent = recent_letters()
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.memo = Memo(lambda words: [self.known(w) for w in words])
 
@@ -135,9 +145,19 @@ class Automaton:
         """The words of a text by pre-tokenization, special tokens being words of their own."""
         if self.specials and self.specials.search(text):
             for part in self.specials.split(text):
-                yield [part] if part in self.special else self.word.findall(part)
+                yield [part] if part in self.special else self.split(part)
         else:
-            yield self.word.findall(text)
+            yield self.split(text)
+
+    def split(self, text: str) -> list[str]:
+        """Pre-tokenization of a text without special tokens; one with letters of a recent Unicode version is split by
+        the tokenizers library, whose idea of letters counts."""
+        if text.isascii() or self.recent.isdisjoint(text):
+            return self.word.findall(text)
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        words = ByteLevel(add_prefix_space=False).pre_tokenize_str(text)
+        return [bytes(self.letters[c] for c in word).decode("utf-8") for word, _ in words]
 
     def encode_text(self, text: str) -> list[int]:
         return [i for part in self.words(text) for ids in self.memo(part) for i in ids[0]]

@@ -8,6 +8,9 @@ grow with the data and are never broadcast whole.  Shards of more than `shard_ro
 split again by combinations of finer blocks, which is exact as well.  A shard emits a spanning star of its
 links instead of all pairs.  Components come from rounds of minimum hooking on the contracted graph, each
 round a written table.
+
+Near copies by Jaccard similarity take further candidates from MinHash bands over the five-word shingles, because
+a SimHash differs by some ten bits at similarity 0.8: too far for block keys.
 """
 
 from __future__ import annotations
@@ -25,17 +28,24 @@ from tesselar.llm.common import WHITE, ascii_lower, join_stats, stored
 
 SEED = 42
 SHARD_ROWS = 4000
+#: Texts of Jaccard similarity s share one of BANDS keys of BAND_ROWS minima with probability 1 - (1 - s^5)^32: all but
+#: 3 in a million at 0.8.
+BANDS, BAND_ROWS = 32, 5
+_MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 31, (BANDS * BAND_ROWS, 1)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+#: Members of a band this near in its order are paired first, then those GROW times as far, and so on.
+NEAR, GROW = 16, 4
 
 
-def fingerprint(text: str | None, width: int = 3, repeats: bool = True) -> int:
-    """64-bit SimHash over the XXH64 of word shingles, A-Z lower-cased, each counted once without repeats; 0 for a
-    text without words."""
+def shingle_hashes(text: str | None, width: int = 3, repeats: bool = True) -> np.ndarray:
+    """The XXH64 of word shingles, A-Z lower-cased, each counted once without repeats; fewer words make one shingle."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: ASCII letters and ASCII white space only
-    if not words:
-        return 0
-    shingles = zip(*(words[i:] for i in range(width))) if len(words) >= width else [words]
+    shingles = zip(*(words[i:] for i in range(width))) if len(words) >= width else [words] if words else []
     shingles = shingles if repeats else set(shingles)
-    h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in shingles), np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in shingles), np.uint64)
+
+
+def simhash(h: np.ndarray) -> int:
+    """64-bit SimHash of hashes; 0 for none."""
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         part = h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -43,19 +53,47 @@ def fingerprint(text: str | None, width: int = 3, repeats: bool = True) -> int:
     return int(np.packbits(2 * set_bits > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[tuple[int, bool], ...] = ((3, True),)) -> DataFrame:
+def fingerprint(text: str | None, width: int = 3, repeats: bool = True) -> int:
+    """64-bit SimHash over the XXH64 of word shingles, A-Z lower-cased, each counted once without repeats; 0 for a
+    text without words."""
+    return simhash(shingle_hashes(text, width, repeats))
+
+
+def band_keys(h: np.ndarray) -> list[int]:
+    """BANDS keys (signed longs), each of BAND_ROWS MinHash values of a set of hashes."""
+    low = (h >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), 1 << 12):
+        np.minimum(least, (low[at : at + (1 << 12)] * _MULTIPLIERS).min(axis=1), out=least)
+    raw, n = least.astype("<u4").tobytes(), 4 * BAND_ROWS
+    return np.array([xxhash.xxh64_intdigest(raw[k * n : (k + 1) * n], k) for k in range(BANDS)], np.uint64).view(np.int64).tolist()
+
+
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[tuple[int, bool], ...] = ((3, True),), banded: int | None = None
+) -> DataFrame:
     """(id, fp) of every row, and (fp_1, ...) for further kinds (shingle width, whether repeats count);
-    fingerprints are signed longs."""
+    fingerprints are signed longs.  With banded, the number of a kind, also (size, bands) of its set of shingles."""
     names = ["fp", *[f"fp_{k}" for k in range(1, len(kinds))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            fps = [np.array([fingerprint(t, *kind) for t in texts], np.uint64).view(np.int64) for kind in kinds]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(f, pa.int64()) for f in fps]], ["id", *names])
+            fps: list[list[int]] = [[] for _ in kinds]
+            sizes, bands = [], []
+            for t in b.column(1).to_pylist():
+                for k, kind in enumerate(kinds):
+                    h = shingle_hashes(t, *kind)
+                    fps[k].append(simhash(h))
+                    if k == banded:
+                        h = np.unique(h)
+                        sizes.append(len(h))
+                        bands.append(band_keys(h))
+            columns = [b.column(0), *[pa.array(np.array(f, np.uint64).view(np.int64), pa.int64()) for f in fps]]
+            more = [] if banded is None else [pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, *more], ["id", *names, *["size", "bands"][: len(more)]])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names) + ("" if banded is None else ", size long, bands array<long>"))
 
 
 class BKTree:
@@ -249,27 +287,79 @@ def with_shingles(rows: DataFrame, text_col: str, width: int = 5) -> DataFrame:
     return rows.withColumn("shingles", F.array_distinct(grams)).drop("__words")
 
 
+def band_pairs(members: DataFrame, similarity: float, nearer: int, farther: int) -> DataFrame:
+    """Distinct (a, b) of members(key, id, root, size, n) of a key whose roots differ, whose sizes allow the similarity and
+    which are more than nearer and at most farther places apart in the key's order of ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group, found = None, [], []  # the last `farther` members of the key
+
+        def out() -> pa.RecordBatch:
+            rows = [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]
+            found.clear()
+            return pa.RecordBatch.from_arrays(rows, ["a", "b"])
+
+        for b in batches:
+            for k, i, root, size in zip(*(b.column(c).to_pylist() for c in range(4))):
+                if k != key:
+                    key, group = k, []
+                for j, other, n in group[: len(group) - nearer]:
+                    if other != root and min(n, size) >= similarity * max(n, size):
+                        found.append((i, j))
+                group.append((i, root, size))
+                if len(group) > farther:
+                    del group[0]
+                if len(found) > 1 << 16:
+                    yield out()
+            yield out()
+
+    dealt = members.where(F.col("n") > nearer + 1).repartition("key").sortWithinPartitions("key", "id")
+    return dealt.select("key", "id", "root", "size").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 6, agree: int = 2, second_radius: int = 16
 ) -> DataFrame:
     """(id_col, component_id) of the rows whose text is a near copy of one with a smaller id, component_id.
 
-    Candidates have fingerprints within radius bits over two-word shingles or over distinct words, both of which
-    few edits change.  Each links to the candidate nearest by the fingerprint over five-word shingles, if within
-    second_radius bits, and a link holds if the Jaccard similarity of the two texts' five-word shingles is at least
-    `similarity`.  Groups are the components of the links that hold.  Rows with equal fingerprints of all kinds
-    count as near.  Null ids are in no group.
+    A link holds if the Jaccard similarity of the two texts' five-word shingles is at least `similarity`.  The first
+    candidates have SimHash fingerprints within radius bits over two-word shingles or over distinct words; each
+    links to the candidate nearest by the fingerprint over five-word shingles, if within second_radius bits.  Then
+    all pairs of texts that share a MinHash band and aren't in a component yet are checked, by rounds of growing
+    distance in the band: a dense group is joined in the first and costs no further pairs.  Groups are the
+    components of the links that hold.  Rows with equal fingerprints of all kinds count as near.  Null ids are in
+    no group.
     """
     keys = ["fp", "fp_1", "fp_2"]
-    found = stored(fingerprints(docs, id_col, text_col, ((2, True), (5, True), (1, False))), "fingerprints")
+    found = stored(fingerprints(docs, id_col, text_col, ((2, True), (5, True), (1, False)), banded=1), "fingerprints")
     codes = code_groups(found, keys)
-    by = lambda first: links(codes.select("id", F.col(first).alias("fp"), "fp_1"), radius, agree, second_radius=second_radius)
-    edges = stored(by("fp").unionByName(by("fp_2")).distinct(), "candidate-links")
-    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    sets = stored(with_shingles(texts.join(ends, "id").dropDuplicates(["id"]), "body").select("id", "shingles"), "shingles")
-    one, other = (sets.select(F.col("id").alias(c), F.col("shingles").alias("s" + c)) for c in ("a", "b"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    held = edges.join(one, "a").join(other, "b").where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both))
-    out = grouped(found, codes, keys, components(held.select("a", "b")))
+
+    def holding(edges: DataFrame) -> DataFrame:
+        ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+        sets = stored(with_shingles(texts.join(ends, "id").dropDuplicates(["id"]), "body").select("id", "shingles"), "shingles")
+        one, other = (sets.select(F.col("id").alias(c), F.col("shingles").alias("s" + c)) for c in ("a", "b"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        held = edges.join(one, "a").join(other, "b").where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both))
+        return stored(held.select("a", "b"), "held-links")
+
+    by = lambda first: links(codes.select("id", F.col(first).alias("fp"), "fp_1"), radius, agree, second_radius=second_radius)
+    held = holding(stored(by("fp").unionByName(by("fp_2")).distinct(), "candidate-links"))
+    roots = components(held)
+    one_each = found.join(codes.select("id"), "id").select("id", "size", "bands").dropDuplicates(["id"])
+    bands = one_each.select("id", "size", F.explode("bands").alias("key"))
+    bands = stored(bands.join(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "bands")
+    nearer, farther = 0, NEAR
+    while True:
+        rooted = bands.join(roots, bands["id"] == roots["node"], "left").select("key", "id", "size", "n", F.coalesce("root", "id").alias("root"))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+        rooted = stored(rooted.join(mixed, "key").where(F.col("n") > nearer + 1), "mixed-bands")
+        if rooted.isEmpty():
+            break
+        edges = stored(band_pairs(rooted, similarity, nearer, farther), "candidate-links")
+        if not edges.isEmpty():
+            held = held.unionByName(holding(edges))
+            roots = components(held)
+        nearer, farther = farther, farther * GROW
+    out = grouped(found, codes, keys, roots)
     return out.where("id != component_id").select(F.col("id").alias(id_col), "component_id")

@@ -440,3 +440,35 @@ def test_site_style(spark):
     assert by[202]["text"] == ("long " * 50000).strip()
     assert extract(found.select("page_id", "url", F.col("text").alias("html")).limit(0)).count() == 0
     assert [t for _, _, t in blocks("<table><tr><td>c<td>d</table>x<script>if(a<b){}</script> y<!-- <p> -->")] == ["c", "d", "x y"]
+
+
+def test_near_copies_of_every_kind_of_edit(spark):
+    """Replaced, inserted and cut blocks at a similarity of 0.8 to 0.9 are found as scattered edits are, and nothing else."""
+    from tesselar.llm.simhash import near_copies
+
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    sets = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    texts = []
+    for k in range(120):
+        ws = words(rng.randrange(200, 600))
+        n = len(ws) * (4 + k // 4 % 5) // 100
+        at = rng.randrange(len(ws) - 2 * n)
+        texts.append(ws)
+        texts.append([ws[:at] + words(n) + ws[at + n :], ws[:at] + words(2 * n) + ws[at:], ws[: -2 * n], ws[: at] + ws[at + 2 * n :]][k % 4])
+    near = [len(sets(a) & sets(b)) >= 0.8 * len(sets(a) | sets(b)) for a, b in zip(texts[::2], texts[1::2])]
+    assert sum(near) > 80
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {tuple(r) for r in near_copies(df).collect()} == {(2 * i + 1, 2 * i) for i, held in enumerate(near) if held}
+
+
+def test_bands_try_every_pair(spark, monkeypatch):
+    """A text whose nearest texts by fingerprint are no copies is still linked with its copy, however large the band."""
+    from tesselar.llm import simhash
+
+    monkeypatch.setattr(simhash, "NEAR", 1)
+    members = spark.createDataFrame([(7, i, i if i % 2 else 0, 10, 9) for i in range(9)], "key long, id long, root long, size long, n long")
+    pairs = set()
+    for nearer, farther in ((0, 1), (1, 4), (4, 16)):
+        pairs |= {tuple(r) for r in simhash.band_pairs(members, 0.8, nearer, farther).collect()}
+    assert pairs == {(i, j) for i in range(9) for j in range(i) if i % 2 or j % 2}

@@ -55,13 +55,13 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?[\w])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w|\.\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w|\.\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "person": rf"(?<!\w)(?P<title>(?:{_TITLE})\.?) (?P<names>(?:{_NAME} ){{0,2}}{_NAME})|(?<!\w)(?P<given>{_GIVEN}) (?P<rest>{_NAME})",
 }
 ENTITY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: No entity lacks one of these; most texts without any are passed over at once.
-_HINT = re.compile(rf"@|\d{{3}}|\d\.\d|[=:]|(?<!\w)(?:{_TITLE}|{_GIVEN})(?!\w)")
+_HINT = re.compile(rf"@|\+\d|\d(?:[ -]?\d){{2}}|[A-Z]{{2}}\d{{2}}|\d\.\d|[=:]|(?<!\w)(?:{_TITLE}|{_GIVEN})(?!\w)")
 
 
 class Entity(NamedTuple):
@@ -122,7 +122,9 @@ def entities(text: str | None) -> list[Entity]:
     if not text or not _HINT.search(text):
         return []
     found: list[Entity] = []
-    for m in ENTITY.finditer(text):
+    at = 0
+    while m := ENTITY.search(text, at):
+        at = m.end()
         kind, raw = m.lastgroup, m[0]
         kind = next(k for k in PATTERNS if m[k] is not None)
         digits = re.sub(r"\D", "", raw)
@@ -145,6 +147,8 @@ def entities(text: str | None) -> list[Entity]:
                 found.append(Entity(m.start(), m.end(), kind, digits))
         elif kind == "ssn" or 7 <= len(digits) <= 15:
             found.append(Entity(m.start(), m.end(), kind, ("+" if raw[0] == "+" else "") + digits))
+        else:  # too few or too many digits for a phone number: another entity may begin in them
+            at = m.start() + 1
     return found
 
 

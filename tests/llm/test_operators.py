@@ -382,6 +382,31 @@ def test_pii(spark):
     assert pii.surrogates(df.limit(0)).count() == 0
 
 
+def test_pii_hint_passes_every_pattern():
+    """An entity is found without any other mark in its text; the examples cover all patterns."""
+    from tesselar.llm import pii
+
+    iban = next(t for k in range(98) if pii._mod97(t := f"DE{k:02d}AB12CD34EF56GH78IJ") == 1)
+    examples = {
+        "email": ["a.b@c.de"], "secret": ["password = abcdefghijk1lm"], "ip": ["10.2.3.4"], "ssn": ["123-45-6789"],
+        "iban": ["DE89370400440532013000", iban], "card": ["4952 9359 0025 3052", "49 52 93 59 00 25 30 52", "4-9-5-2-9-3-5-9-0-0-2-5-3-0-5-2"],
+        "surname": ["Dr. Smith", "Ms Smith"], "given.f": ["Anna Smith"],
+        "phone": [
+            "+49 30 12 34 56 78", "+34 91 23 45 67 89", "+33 12 34 56 78 90", "+33 1 23 45 67 89", "+33 (0)1 23 45 67 89", "+33.1.23.45.67.89", "+33 6-12-34-56-78",
+            "+1 (974) 555-3436", "(974) 555-3436", "974-555-3436", "+442079460958",
+        ],
+    }
+    for kind, texts in examples.items():
+        for t in texts:
+            found = pii.entities(f"so {t} or")
+            assert found and found[0].type == kind, t
+            if not kind.startswith(("surname", "given", "secret")):
+                assert [(e.start, e.end) for e in found] == [(3, 3 + len(t))], t
+            assert t not in pii.replaced(f"so {t} or", {}, b"k")[0]
+    assert {k.partition(".")[0].replace("surname", "person") for k in examples} - {"given"} == set(pii.PATTERNS)
+    assert [e.type for e in pii.entities("+5 3 and +1 23 45, then +12 3 10.2.3.4")] == ["ip"]
+
+
 def test_pii_collisions(spark, monkeypatch):
     """A tiny space of surrogates still keeps entities apart, and off the real ones."""
     from tesselar.llm import pii

@@ -429,3 +429,104 @@ def write_read_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cells = read_ranges(plan.ranges(loader)).select("tgt_off", "payload").mapInArrow(decoded, "at long, v float")
     return cells.select(F.floor(F.col("at") / WIDTH).alias("row"), (F.col("at") % WIDTH).alias("col"), micro(F.col("v")).alias("u"))
+
+
+#: Rows of a source file of the whole-table checkpoint (16 MB); tables of few rows make WORLD files.
+FILE_ROWS = 65536
+SQL_K = "n AS (SELECT count(*)::BIGINT AS n FROM embeddings), k AS (SELECT n, greatest(4, (n + 65535) // 65536)::BIGINT AS k FROM n)"
+
+
+def _write_table(spark: SparkSession, sf_dir: str, folder: str) -> tuple[int, int]:
+    """All of T1 as a checkpoint of k files , each written by one task with a tensor up.I of the rows from n * I // k; (n, k)."""
+    from tesselar.plans.catalog import manifest_json
+    from tesselar.plans.model import Topology
+    from tesselar.sources.headers import open_fs
+
+    t = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("row"), "embedding")
+    n, ids, least, most = t.agg(F.count("*"), F.count_distinct("row"), F.min("row"), F.max("row")).first()
+    if n and (ids, least, most) != (n, 0, n - 1):
+        raise ValueError("vec_id doesn't number the rows of embeddings")
+    k = max(WORLD, -(-n // FILE_ROWS))
+    name = lambda i: f"part-{i:05d}.safetensors"
+
+    def write(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        fs, path = open_fs(folder)
+        current = out = temporary = None
+
+        def ended() -> None:
+            if out is not None:
+                out.close()
+                fs.move(temporary, f"{path}/{name(current)}")
+
+        for b in batches:
+            files, values = b.column(0).to_numpy(), b.column(1)
+            flat = values.flatten()
+            if values.null_count or flat.null_count or len(flat) != len(values) * WIDTH:
+                raise ValueError("an embedding isn't whole")
+            flat = flat.to_numpy().astype("<f4").reshape(-1, WIDTH)
+            for i in np.unique(files).tolist():
+                if i != current:
+                    ended()
+                    rows = n * (i + 1) // k - n * i // k
+                    header = json.dumps({"__metadata__": {"table": "embeddings"}, f"up.{i}": {"dtype": "F32", "shape": [rows, WIDTH], "data_offsets": [0, rows * WIDTH * 4]}}).encode()
+                    current, temporary = i, f"{path}/.{name(i)}.{uuid.uuid4().hex}"
+                    out = fs.open_output_stream(temporary)
+                    out.write(len(header).to_bytes(8, "little") + header)
+                out.write(flat[files == i].tobytes())
+        ended()
+        yield pa.RecordBatch.from_arrays([pa.array([] if current is None else [current], pa.int64())], ["file_idx"])
+
+    fs, path = open_fs(folder)
+    fs.create_dir(path, recursive=True)
+    idx = F.expr(f"((row + 1) * {k} - 1) div {max(n, 1)}").alias("file_idx")
+    dealt = t.select(idx, "row", "embedding").repartition("file_idx").sortWithinPartitions("file_idx", "row")
+    dealt.select("file_idx", "embedding").mapInArrow(write, "file_idx long").count()
+    files = spark.range(k).select(F.col("id").alias("file_idx"), F.format_string("part-%05d.safetensors", "id").alias("filename"))
+    lo, hi = (F.expr(f"({n} * (id + {j})) div {k}") for j in (0, 1))
+    tensors = spark.range(k).select(F.concat(F.lit("up."), F.col("id").cast("string")).alias("name"), F.lit("Shared").alias("kind"), F.array(hi - lo, F.lit(WIDTH).cast("bigint")).alias("shape"), F.lit("F32").alias("dtype"), F.col("id").alias("file_idx"))
+    zeros = F.transform("shape", lambda _: F.lit(0).cast("bigint"))
+    chunks = tensors.select("name", "kind", F.lit(0).alias("chunk_idx"), zeros.alias("offsets"), "shape", "file_idx")
+    with fs.open_output_stream(path + "/topology.json") as f:
+        f.write(manifest_json(Topology(tensors.drop("file_idx"), chunks, files, k)).encode())
+    return n, k
+
+
+@query(f"WITH {SQL_K}, i AS (SELECT n, k, unnest(range(k)) AS i FROM k) SELECT i::BIGINT AS file_idx, 'up.' || i AS name, 'F32' AS dtype, (n * (i + 1) // k - n * i // k)::BIGINT AS s0, 64::BIGINT AS s1, 0::BIGINT AS begin, ((n * (i + 1) // k - n * i // k) * 256)::BIGINT AS \"end\" FROM i")
+def checkpoint_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headers of all files of the embeddings table's checkpoint."""
+    from tesselar.plans.catalog import load_topology, with_paths
+    from tesselar.sources.headers import headers
+
+    folder = _checkpoint_folder(spark)
+    _write_table(spark, sf_dir, folder)
+    files = with_paths(load_topology(spark, folder).files, folder)
+    return headers(spark, files).select("file_idx", "name", "dtype", get("shape", 0).alias("s0"), get("shape", 1).alias("s1"), "begin", "end")
+
+
+@query(f"WITH {SQL_E} SELECT r::BIGINT AS row, c::BIGINT AS col, u FROM m")
+def checkpoint_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole embeddings table: files by rows -> four ranks by columns in size-capped shards -> fused file -> elements."""
+    from tesselar.operators.reshard import fuse, reshard
+    from tesselar.operators.slices import Loader, Plan
+    from tesselar.sources.headers import read_ranges
+
+    folder = _checkpoint_folder(spark)
+    n, k = _write_table(spark, sf_dir, folder + "/rows")
+    reshard(spark, folder + "/rows", folder + "/four", WORLD, max_shard_bytes=max(1, 2 * -(-n // k) * WIDTH * 4 // WORLD))
+    fuse(spark, folder + "/four", folder + "/back")
+    loader, plan = Loader(spark, folder + "/back"), Plan()
+    for i in range(k):
+        plan.add_slice(loader.get_slice(f"up.{i}")[:])
+
+    def decoded(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        for b in batches:
+            for name, off, raw in zip(*(c.to_pylist() for c in b.columns)):
+                values, first = np.frombuffer(raw, "<f4"), n * int(name[3:]) // k * WIDTH
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)) + off // 4 + first, pa.int64()), pa.array(values, pa.float32())], ["at", "v"])
+
+    cells = read_ranges(plan.ranges(loader)).select("name", "tgt_off", "payload").mapInArrow(decoded, "at long, v float")
+    return cells.select(F.floor(F.col("at") / WIDTH).alias("row"), (F.col("at") % WIDTH).alias("col"), micro(F.col("v")).alias("u"))

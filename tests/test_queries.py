@@ -28,3 +28,16 @@ def rows(df):
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_query(spark, con, name):
     assert rows(queries.QUERIES[name](spark, SF).toPandas()) == rows(con.sql(queries.ORACLES[name]).df())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the synthetic tables")
+def test_whole_table_passes_through_files(spark, con, monkeypatch, tmp_path):
+    """All rows of embeddings go through several source files, several shards a rank and the fused file."""
+    monkeypatch.setattr(queries, "_checkpoint_folder", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(queries, "FILE_ROWS", 100)
+    n = con.sql("SELECT count(*) FROM embeddings").fetchall()[0][0]
+    assert queries.checkpoint_roundtrip(spark, SF).count() == n * queries.WIDTH
+    k = max(queries.WORLD, -(-n // 100))
+    sources, shards = (list((tmp_path / d).glob("*.safetensors")) for d in ("rows", "four"))
+    assert len(sources) == k and len(shards) > queries.WORLD
+    assert sum(f.stat().st_size for f in sources) > n * queries.WIDTH * 4 and (tmp_path / "back" / "model.safetensors").stat().st_size > n * queries.WIDTH * 4

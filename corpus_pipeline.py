@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import stored, table
+from tesselar.llm.common import drop_stored, n_stored, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +27,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without near copies (SimHash on five-word shingles, similarity 0.8) of a row with a smaller id."""
-    from tesselar.llm.simhash import near_copies
+    """One row of each group of near copies (SimHash operator on word shingles, similarity 0.8): that with the smallest id."""
+    from tesselar.llm.simhash import without_near_copies
 
-    gone = near_copies(docs).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return without_near_copies(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +55,8 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    since = n_stored()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        drop_stored(spark, since, but=docs)  # the stage's own tables and its input have been read
     return STAGES[-1][1](spark, docs, sf_dir)

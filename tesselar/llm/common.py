@@ -17,16 +17,17 @@ _tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if the session names none (tests)."""
+    """The folder that driver and executors share.  Only a local session that names none gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if folder:
+        return folder
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not found.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tesselar-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        folder = "file://" + tempfile.mkdtemp(prefix="tesselar-")
-        spark.sparkContext.setCheckpointDir(folder)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
+    return found.get()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -43,12 +44,36 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> None:
-    """Delete the tables that stored() has written in this session."""
-    for path in _tables:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _tables.clear()
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _tables.remove(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the table that stored() returned as df, once nothing reads it any more."""
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    for path in [t for t in _tables if any(f.endswith(t.split("://")[-1].lstrip("/")) for f in folders)]:
+        _delete(df.sparkSession, path)
+
+
+def drop_stored(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Delete the tables that stored() has written in this session after the first `since`, but for one."""
+    kept = {f.rpartition("/")[0] for f in but.inputFiles()} if but is not None else set()
+    for path in [t for t in _tables[since:] if not any(f.endswith(t.split("://")[-1].lstrip("/")) for f in kept)]:
+        _delete(spark, path)
+
+
+def n_stored() -> int:
+    """How many tables stored() has written and not deleted."""
+    return len(_tables)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in [c.lower() for c in df.columns]:
+        name = "_" + name
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,7 +10,8 @@ links instead of all pairs.  Components come from rounds of minimum hooking on t
 round a written table.
 
 Near copies by Jaccard similarity take further candidates from MinHash bands over the five-word shingles, because
-a SimHash differs by some ten bits at similarity 0.8: too far for block keys.
+a SimHash differs by some ten bits at similarity 0.8: too far for block keys.  Candidates are thinned out by short
+sketches, so that only texts that are very likely near copies are fetched for the exact check.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import WHITE, ascii_lower, join_stats, stored
+from tesselar.llm.common import WHITE, ascii_lower, dropped, fresh, join_stats, stored
 
 SEED = 42
 SHARD_ROWS = 4000
@@ -32,15 +33,17 @@ SHARD_ROWS = 4000
 #: 3 in a million at 0.8.
 BANDS, BAND_ROWS = 32, 5
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 31, (BANDS * BAND_ROWS, 1)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-#: Members of a band this near in its order are paired first, then those GROW times as far, and so on.
-NEAR, GROW = 16, 4
+#: A sketch holds a byte of every other minimum; a pair whose sketches agree SIGMAS deviations less than expected at the
+#: similarity (3 in ten million of such pairs) is no candidate.
+SKETCH, SIGMAS = BANDS * BAND_ROWS // 2, 6
+#: Members of a band that a task holds at a time.
+CHUNK = 1024
 
 
-def shingle_hashes(text: str | None, width: int = 3, repeats: bool = True) -> np.ndarray:
-    """The XXH64 of word shingles, A-Z lower-cased, each counted once without repeats; fewer words make one shingle."""
+def shingle_hashes(text: str | None, width: int = 3) -> np.ndarray:
+    """The XXH64 of word shingles, A-Z lower-cased, repeats included; fewer words make one shingle."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: ASCII letters and ASCII white space only
     shingles = zip(*(words[i:] for i in range(width))) if len(words) >= width else [words] if words else []
-    shingles = shingles if repeats else set(shingles)
     return np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in shingles), np.uint64)
 
 
@@ -53,47 +56,57 @@ def simhash(h: np.ndarray) -> int:
     return int(np.packbits(2 * set_bits > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprint(text: str | None, width: int = 3, repeats: bool = True) -> int:
-    """64-bit SimHash over the XXH64 of word shingles, A-Z lower-cased, each counted once without repeats; 0 for a
-    text without words."""
-    return simhash(shingle_hashes(text, width, repeats))
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """64-bit SimHash over the XXH64 of word shingles, A-Z lower-cased, repeats included; 0 for a text without words."""
+    return simhash(shingle_hashes(text, width))
 
 
-def band_keys(h: np.ndarray) -> list[int]:
-    """BANDS keys (signed longs), each of BAND_ROWS MinHash values of a set of hashes."""
+def minima(h: np.ndarray) -> np.ndarray:
+    """BANDS * BAND_ROWS MinHash values of a set of hashes."""
     low = (h >> np.uint64(32)).astype(np.uint32)
     least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(low), 1 << 12):
         np.minimum(least, (low[at : at + (1 << 12)] * _MULTIPLIERS).min(axis=1), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> list[int]:
+    """BANDS keys (signed longs), each of BAND_ROWS minima."""
     raw, n = least.astype("<u4").tobytes(), 4 * BAND_ROWS
     return np.array([xxhash.xxh64_intdigest(raw[k * n : (k + 1) * n], k) for k in range(BANDS)], np.uint64).view(np.int64).tolist()
 
 
-def fingerprints(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[tuple[int, bool], ...] = ((3, True),), banded: int | None = None
-) -> DataFrame:
-    """(id, fp) of every row, and (fp_1, ...) for further kinds (shingle width, whether repeats count);
-    fingerprints are signed longs.  With banded, the number of a kind, also (size, bands) of its set of shingles."""
-    names = ["fp", *[f"fp_{k}" for k in range(1, len(kinds))]]
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """(id, fp) of every row; fingerprints are signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps: list[list[int]] = [[] for _ in kinds]
-            sizes, bands = [], []
-            for t in b.column(1).to_pylist():
-                for k, kind in enumerate(kinds):
-                    h = shingle_hashes(t, *kind)
-                    fps[k].append(simhash(h))
-                    if k == banded:
-                        h = np.unique(h)
-                        sizes.append(len(h))
-                        bands.append(band_keys(h))
-            columns = [b.column(0), *[pa.array(np.array(f, np.uint64).view(np.int64), pa.int64()) for f in fps]]
-            more = [] if banded is None else [pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*columns, *more], ["id", *names, *["size", "bands"][: len(more)]])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names) + ("" if banded is None else ", size long, bands array<long>"))
+            fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64), pa.int64())], ["id", "fp"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """(id, h, fp, size, bands, sketch) of every row: h is a hash of the text, fp the SimHash of its two-word shingles,
+    the rest describes its set of shingles of width words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, sizes, bands, sketch = [], [], [], []
+            for t in b.column(2).to_pylist():
+                fps.append(simhash(shingle_hashes(t, 2)))
+                h = np.unique(shingle_hashes(t, width))
+                least = minima(h)
+                sizes.append(len(h))
+                bands.append(band_keys(least))
+                sketch.append(least[::2].astype(np.uint8).tobytes())  # low bytes: minima are small
+            fp = pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())
+            more = [pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, *more], ["id", "h", "fp", "size", "bands", "sketch"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, h long, fp long, size long, bands array<long>, sketch binary")
 
 
 class BKTree:
@@ -128,21 +141,9 @@ class BKTree:
         return found
 
 
-def nearest_links(ids: list[int], codes: list[int], radius: int, seconds: list[int], second_radius: int) -> list[tuple[int, int]]:
-    """For each code, the id of the one before it within the radius whose second code is nearest, if that is within
-    second_radius: a link per code, however dense a group is."""
-    tree, found = BKTree(), []
-    for i, code in enumerate(codes):
-        near = min((((seconds[i] ^ seconds[j]).bit_count(), j) for j in tree.within(code, radius)), default=(65, 0))
-        if near[0] <= second_radius:
-            found.append((ids[i], ids[near[1]]))
-        tree.add(code)
-    return found
-
-
 def shard_links(ids: list[int], codes: list[int], radius: int) -> list[tuple[int, int]]:
-    """A spanning star (id, smaller id) of each group of linked codes."""
-    tree, root = BKTree(), list(range(len(codes)))
+    """A spanning forest (id, id of one within the radius) of each group of linked codes."""
+    tree, root, found = BKTree(), list(range(len(codes))), []
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -154,10 +155,10 @@ def shard_links(ids: list[int], codes: list[int], radius: int) -> list[tuple[int
         for j in tree.within(code, radius):
             a, b = find(i), find(j)
             if a != b:
-                a, b = sorted((a, b), key=lambda k: ids[k])
-                root[b] = a
+                root[max(a, b)] = min(a, b)
+                found.append((ids[i], ids[j]))
         tree.add(code)
-    return [(ids[i], ids[r]) for i in range(len(codes)) if (r := find(i)) != i]
+    return found
 
 
 def _block_keys(fp: Column, radius: int, agree: int, within: Column | None = None) -> Column:
@@ -173,51 +174,42 @@ def _block_keys(fp: Column, radius: int, agree: int, within: Column | None = Non
     return F.array(*[F.xxhash64(*first, F.lit(k), *[block(i) for i in c]) for k, c in enumerate(combinations(range(n), agree))])
 
 
-def links(codes: DataFrame, radius: int = 2, agree: int = 1, shard_rows: int = SHARD_ROWS, second_radius: int | None = None) -> DataFrame:
+def links(codes: DataFrame, radius: int = 2, agree: int = 1, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(a, b) links among the distinct fingerprints of codes(id, fp), enough to span each component.
 
-    With second_radius, the link of each fingerprint to the nearest by fp_1 in its shards, if within second_radius.
+    Both ends of a link are within the radius, whatever the size of the shards.
     """
-    second = second_radius is not None
-    codes = codes if second else codes.withColumn("fp_1", F.lit(0).cast("long"))
-    shards = codes.select("id", "fp", "fp_1", F.explode(_block_keys(F.col("fp"), radius, agree)).alias("key"))
+    shards = codes.select("id", "fp", F.explode(_block_keys(F.col("fp"), radius, agree)).alias("key"))
     several = shards.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = shards.join(several, "key")
     # a hot shard is split by finer blocks: more of them have to agree, within the shard
     finer = F.explode(_block_keys(F.col("fp"), radius, agree + 1, F.col("key"))).alias("key")
-    hot = rows.where(F.col("n") > shard_rows).select("id", "fp", "fp_1", finer)
-    rows = rows.where(F.col("n") <= shard_rows).select("id", "fp", "fp_1", "key").unionByName(hot)
+    hot = rows.where(F.col("n") > shard_rows).select("id", "fp", finer)
+    rows = rows.where(F.col("n") <= shard_rows).select("id", "fp", "key").unionByName(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, codes_, seconds = None, [], [], []
-
-        def ended() -> list[tuple[int, int]]:
-            if len(ids) < 2:
-                return []
-            return nearest_links(ids, codes_, radius, seconds, second_radius) if second else shard_links(ids, codes_, radius)
+        key, ids, codes_ = None, [], []
 
         def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for b in batches:
             found: list[tuple[int, int]] = []
-            k, i, c, c2 = (b.column(n).to_numpy() for n in (3, 0, 1, 2))
+            i, c, k = (x.to_numpy() for x in b.columns)
             cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(k)]):
                 if lo == hi:
                     continue
-                if key is not None and k[lo] != key:
-                    found += ended()
-                    ids, codes_, seconds = [], [], []
-                key = k[lo]
+                if k[lo] != key:
+                    found += shard_links(ids, codes_, radius)
+                    key, ids, codes_ = k[lo], [], []
                 ids += i[lo:hi].tolist()
                 codes_ += c[lo:hi].view(np.uint64).tolist()
-                seconds += c2[lo:hi].view(np.uint64).tolist()
             yield out(found)
-        yield out(ended())
+        yield out(shard_links(ids, codes_, radius))
 
     dealt = rows.repartition("key").sortWithinPartitions("key", "id")
-    return dealt.select("id", "fp", "fp_1", "key").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("id", "fp", "key").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -250,18 +242,6 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def code_groups(found: DataFrame, keys: list[str]) -> DataFrame:
-    """(*keys, id, n) of the distinct fingerprints of a stored table: smallest id and number of rows."""
-    return stored(found.where("id IS NOT NULL").groupBy(*keys).agg(F.min("id").alias("id"), F.count("*").alias("n")), "codes")
-
-
-def grouped(found: DataFrame, codes: DataFrame, keys: list[str], roots: DataFrame) -> DataFrame:
-    """(id, fp, component_id) of found's rows, given the roots of the codes' ids; null for a null id."""
-    stats = codes.join(roots, codes["id"] == roots["node"], "left").select(*keys, "n", F.coalesce("root", "id").alias("component_id"))
-    out = join_stats(found.where("id IS NOT NULL"), stored(stats, "code-components"), keys, "n", found.count()).select("id", "fp", "component_id")
-    return out.unionByName(found.where("id IS NULL").select("id", "fp", F.lit(None).cast("long").alias("component_id")))
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, agree: int = 1, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
@@ -271,9 +251,12 @@ def near_duplicates(
     fingerprint, but neither link nor count in a component (component_id null); repeated rows are alike; an empty
     table gives no rows; other columns are ignored.
     """
-    found = stored(fingerprints(docs, id_col, text_col, ((width, True),)), "fingerprints")
-    codes = code_groups(found, ["fp"])
-    out = grouped(found, codes, ["fp"], components(links(codes.select("id", "fp"), radius, agree, shard_rows)))
+    found = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    codes = stored(found.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")), "codes")
+    roots = components(links(codes.select("id", "fp"), radius, agree, shard_rows))
+    stats = codes.join(roots, codes["id"] == roots["node"], "left").select("fp", "n", F.coalesce("root", "id").alias("component_id"))
+    out = join_stats(found.where("id IS NOT NULL"), stored(stats, "code-components"), ["fp"], "n", found.count()).select("id", "fp", "component_id")
+    out = out.unionByName(found.where("id IS NULL").select("id", "fp", F.lit(None).cast("long").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -287,79 +270,175 @@ def with_shingles(rows: DataFrame, text_col: str, width: int = 5) -> DataFrame:
     return rows.withColumn("shingles", F.array_distinct(grams)).drop("__words")
 
 
-def band_pairs(members: DataFrame, similarity: float, nearer: int, farther: int) -> DataFrame:
-    """Distinct (a, b) of members(key, id, root, size, n) of a key whose roots differ, whose sizes allow the similarity and
-    which are more than nearer and at most farther places apart in the key's order of ids."""
+def _alike(one: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sketches of each pair agree as those of texts of the similarity do."""
+    least = SKETCH * similarity - SIGMAS * np.sqrt(SKETCH * similarity * (1 - similarity))
+    return (one == other).sum(axis=1) >= least
+
+
+def _pairs(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], ["a", "b"])
+
+
+def neighbours(members: DataFrame) -> DataFrame:
+    """Distinct (a, b): each member of members(key, row, n) with the two before it in its key, or its part of a large one.
+
+    A key of more than CHUNK members is cut into parts in two ways, so that no task holds it and its parts are joined.
+    """
+    parts = F.when(F.col("n") > CHUNK, F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / CHUNK)))).otherwise(1).cast("int")
+    ways = F.when(F.col("n") > CHUNK, F.array(F.pmod(F.xxhash64("row"), parts), F.pmod(F.xxhash64("row", F.lit(1)), parts) + parts)).otherwise(F.array(F.lit(0).cast("long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, found = None, [], []  # the last `farther` members of the key
+        last = [(None, 0), (None, 0)]
+        for batch in batches:
+            a, b = [], []
+            for key, part, row in zip(*(c.to_pylist() for c in batch.columns)):
+                for k, i in last:
+                    if k == (key, part):
+                        a.append(row), b.append(i)
+                last = [last[1], ((key, part), row)]
+            yield _pairs(a, b)
+
+    dealt = members.select("key", F.explode(ways).alias("part"), "row").repartition("key", "part").sortWithinPartitions("key", "part", "row")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def mixed_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (a, b) of members(key, row, root, size, sketch) of one key and different roots, whose sizes and sketches allow
+    the similarity.
+
+    Only the members outside the key's most frequent root are compared, with all of the key, in blocks: no task
+    holds more than about CHUNK of them, however large the key is.
+    """
+    per = members.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key")
+    per = per.agg(F.sum("k").alias("n"), F.max_by("root", "k").alias("major"), F.max("k").alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    rows = members.join(per, "key")
+    salts, blocks = (F.ceil(c / CHUNK).cast("int") for c in (F.col("n"), F.col("n") - F.col("top")))
+    own = lambda of: F.pmod(F.xxhash64("row"), of).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
+    kept = ("key", "row", "root", "size", "sketch")
+    held = rows.where("root != major").select(*kept, every(salts).alias("salt"), own(blocks).alias("block"), F.lit(0).alias("side"))
+    met = rows.select(*kept, own(salts).alias("salt"), every(blocks).alias("block"), F.lit(1).alias("side"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        one, other = [], []
 
         def out() -> pa.RecordBatch:
-            rows = [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]
-            found.clear()
-            return pa.RecordBatch.from_arrays(rows, ["a", "b"])
+            sides = [np.frombuffer(b"".join(x[3] for x in s), np.uint8).reshape(-1, SKETCH) for s in (one, other)]
+            good = np.flatnonzero(_alike(*sides, similarity))
+            found = {(max(p), min(p)) for p in ((one[i][0], other[i][0]) for i in good)}
+            one.clear(), other.clear()
+            return _pairs([a for a, _ in found], [b for _, b in found])
 
         for b in batches:
-            for k, i, root, size in zip(*(b.column(c).to_pylist() for c in range(4))):
-                if k != key:
-                    key, group = k, []
-                for j, other, n in group[: len(group) - nearer]:
-                    if other != root and min(n, size) >= similarity * max(n, size):
-                        found.append((i, j))
-                group.append((i, root, size))
-                if len(group) > farther:
-                    del group[0]
-                if len(found) > 1 << 16:
+            keys = zip(*(b.column(k).to_pylist() for k in (0, 5, 6)))
+            for k, side, x in zip(keys, b.column(7).to_pylist(), zip(*(b.column(k).to_pylist() for k in range(1, 5)))):
+                if k != group:
+                    group, held = k, []
+                if side == 0:
+                    held.append(x)
+                    continue
+                for y in held:
+                    if x[1] != y[1] and min(x[2], y[2]) >= similarity * max(x[2], y[2]):
+                        one.append(x), other.append(y)
+                if len(one) > 1 << 15:
                     yield out()
-            yield out()
+        yield out()
 
-    dealt = members.where(F.col("n") > nearer + 1).repartition("key").sortWithinPartitions("key", "id")
-    return dealt.select("key", "id", "root", "size").mapInArrow(run, "a long, b long").distinct()
+    dealt = held.unionByName(met).repartition("key", "salt", "block").sortWithinPartitions("key", "salt", "block", "side")
+    return dealt.select(*kept, "salt", "block", "side").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 6, agree: int = 2, second_radius: int = 16
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 6, agree: int = 2, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
-    """(id_col, component_id) of the rows whose text is a near copy of one with a smaller id, component_id.
-
-    A link holds if the Jaccard similarity of the two texts' five-word shingles is at least `similarity`.  The first
-    candidates have SimHash fingerprints within radius bits over two-word shingles or over distinct words; each
-    links to the candidate nearest by the fingerprint over five-word shingles, if within second_radius bits.  Then
-    all pairs of texts that share a MinHash band and aren't in a component yet are checked, by rounds of growing
-    distance in the band: a dense group is joined in the first and costs no further pairs.  Groups are the
-    components of the links that hold.  Rows with equal fingerprints of all kinds count as near.  Null ids are in
-    no group.
+    """(id_col, text_hash, copies, component_id) of the rows of groups of near copies that don't stay.
+
+    Two texts are linked if the Jaccard similarity of their five-word shingles is at least `similarity`; groups are the
+    components of the links.  In each group the row with the smallest id stays (component_id; of equal ids that with
+    the smallest text_hash; null ids come last).  A row is known by its id and the hash of its text, so texts of one
+    id are told apart; of rows repeated with both one stays: copies counts them, and is more than one only for the
+    row that stays.
+
+    Candidates are linked neighbours in BK-trees of SimHash fingerprints (radius bits, two-word shingles) and in MinHash
+    bands; their links are checked exactly.  Then all pairs that share a band and aren't in one component yet are
+    checked too, so the groups depend neither on shards nor on the first candidates.
     """
-    keys = ["fp", "fp_1", "fp_2"]
-    found = stored(fingerprints(docs, id_col, text_col, ((2, True), (5, True), (1, False)), banded=1), "fingerprints")
-    codes = code_groups(found, keys)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    found = sketches(docs, id_col, text_col)
+    found = stored(found.withColumn("row", F.monotonically_increasing_id()), "sketches")  # written once, then fixed
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("body"))
+
+    def alike(edges: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sides = [np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (2, 3)]
+                good = pa.array(_alike(*sides, similarity))
+                yield pa.RecordBatch.from_arrays([b.column(k).filter(good) for k in (0, 1)], ["a", "b"])
+
+        one, other = (found.select(F.col("row").alias(c), F.col("sketch").alias("s" + c), F.col("size").alias("n" + c)) for c in ("a", "b"))
+        sized = edges.join(one, "a").join(other, "b").where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb"))
+        return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
     def holding(edges: DataFrame) -> DataFrame:
-        ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
-        sets = stored(with_shingles(texts.join(ends, "id").dropDuplicates(["id"]), "body").select("id", "shingles"), "shingles")
-        one, other = (sets.select(F.col("id").alias(c), F.col("shingles").alias("s" + c)) for c in ("a", "b"))
+        ends = edges.select(F.col("a").alias("row")).unionByName(edges.select(F.col("b").alias("row"))).distinct()
+        ends = stored(ends.join(found.select("row", "id", "h"), "row"), "ends")
+        body = ends.join(texts, ends["id"].eqNullSafe(texts["id"]) & (ends["h"] == texts["h"])).select("row", "body").dropDuplicates(["row"])
+        sets = stored(with_shingles(body, "body").select("row", "shingles"), "shingles")
+        one, other = (sets.select(F.col("row").alias(c), F.col("shingles").alias("s" + c)) for c in ("a", "b"))
         both = F.size(F.array_intersect("sa", "sb"))
         held = edges.join(one, "a").join(other, "b").where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both))
-        return stored(held.select("a", "b"), "held-links")
-
-    by = lambda first: links(codes.select("id", F.col(first).alias("fp"), "fp_1"), radius, agree, second_radius=second_radius)
-    held = holding(stored(by("fp").unionByName(by("fp_2")).distinct(), "candidate-links"))
+        held = stored(held.select("a", "b"), "held-links")
+        dropped(sets)
+        return held
+
+    codes = stored(found.groupBy("fp").agg(F.min("row").alias("id")), "codes")
+    keys = F.concat(F.col("bands"), F.array(F.col("fp")))  # equal fingerprints are one more band
+    bands = found.select("row", "size", F.posexplode(keys).alias("band", "code")).select("row", "size", "band", F.xxhash64("band", "code").alias("key"))
+    counts = stored(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "band-sizes")
+    bands = stored(join_stats(bands, counts, ["key"], "n", (BANDS + 1) * found.count()), "bands")
+    first = stored(links(codes, radius, agree, shard_rows).unionByName(neighbours(bands)).distinct(), "candidate-links")
+    tried = stored(alike(first), "candidate-links")
+    held = holding(tried)
     roots = components(held)
-    one_each = found.join(codes.select("id"), "id").select("id", "size", "bands").dropDuplicates(["id"])
-    bands = one_each.select("id", "size", F.explode("bands").alias("key"))
-    bands = stored(bands.join(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "bands")
-    nearer, farther = 0, NEAR
-    while True:
-        rooted = bands.join(roots, bands["id"] == roots["node"], "left").select("key", "id", "size", "n", F.coalesce("root", "id").alias("root"))
+    for some in ("band < 4", "band >= 4"):  # the first bands join most of a group, which spares pairs in the others
+        rooted = bands.where(some).join(roots, bands["row"] == roots["node"], "left").select("key", "row", "size", F.coalesce("root", "row").alias("root"))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-        rooted = stored(rooted.join(mixed, "key").where(F.col("n") > nearer + 1), "mixed-bands")
-        if rooted.isEmpty():
-            break
-        edges = stored(band_pairs(rooted, similarity, nearer, farther), "candidate-links")
-        if not edges.isEmpty():
-            held = held.unionByName(holding(edges))
+        rooted = stored(rooted.join(mixed, "key").join(found.select("row", "sketch"), "row"), "mixed-bands")
+        edges = stored(mixed_pairs(rooted, similarity).join(tried, ["a", "b"], "left_anti"), "candidate-links")
+        dropped(rooted)
+        tried = tried.unionByName(edges)
+        more = holding(edges)
+        if not more.isEmpty():
+            held = held.unionByName(more)
             roots = components(held)
-        nearer, farther = farther, farther * GROW
-    out = grouped(found, codes, keys, roots)
-    return out.where("id != component_id").select(F.col("id").alias(id_col), "component_id")
+    return _leaving(found, roots).select(F.col("id").alias(id_col), F.col("h").alias("text_hash"), "copies", "component_id")
+
+
+def _leaving(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, h, copies, component_id) of rows that don't stay, and of rows that stay but are repeated."""
+    named = found.select("row", "id", "h")
+    groups = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    members = stored(groups.join(named, groups["node"] == named["row"]).select("root", "id", "h"), "near-groups")
+    order = F.struct(F.col("id").isNull().alias("nameless"), "id", "h")
+    per = members.groupBy("root").agg(F.min(order).alias("stays"))
+    told = members.groupBy("root", "id", "h").agg(F.count("*").alias("copies")).join(per, "root")
+    stays = F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("h") == F.col("stays.h"))
+    return told.where(~stays | (F.col("copies") > 1)).select("id", "h", F.when(stays, F.col("copies")).otherwise(1).alias("copies"), F.col("stays.id").alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The rows of docs that stay when near copies go, with all their columns: one of each group.
+
+    Null and empty texts are alike (similarity 1) to one another, as null texts are among themselves.
+    """
+    gone = near_copies(docs, id_col, text_col, similarity, shard_rows=shard_rows)
+    gone = stored(gone.select(F.col(id_col).alias("gone_id"), F.col("text_hash").alias("gone_hash"), "copies"), "near-copies")
+    i, h = fresh(docs, "id"), fresh(docs, "h")
+    rows = docs.withColumns({i: F.col(id_col).cast("long"), h: F.xxhash64(F.col(text_col))})
+    on = lambda some: rows[i].eqNullSafe(some["gone_id"]) & (rows[h] == some["gone_hash"])
+    kept = rows.join(gone, on(gone), "left_anti")
+    again = gone.where("copies > 1")
+    if not again.isEmpty():
+        kept = kept.unionByName(rows.join(again, on(again), "left_semi").dropDuplicates([i, h]))
+    return kept.drop(i, h)

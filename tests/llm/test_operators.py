@@ -103,7 +103,7 @@ def test_simhash(spark, docs, rows):
     copies = spark.createDataFrame([(9, prose(300)), (3, "other words " * 40)], "doc_id long, text string")
     text = copies.where("doc_id = 9").first()["text"]
     copies = copies.union(spark.createDataFrame([(10, text + " end"), (11, re.sub("[a-z]", lambda m: m[0].upper(), text))], "doc_id long, text string"))
-    assert {tuple(r) for r in near_copies(copies).collect()} == {(10, 9), (11, 9)}
+    assert set(got(near_copies(copies), "doc_id", "component_id")) == {(10, 9), (11, 9)}
     assert near_copies(copies.limit(0)).count() == 0
 
 
@@ -484,16 +484,57 @@ def test_near_copies_of_every_kind_of_edit(spark):
     near = [len(sets(a) & sets(b)) >= 0.8 * len(sets(a) | sets(b)) for a, b in zip(texts[::2], texts[1::2])]
     assert sum(near) > 80
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    assert {tuple(r) for r in near_copies(df).collect()} == {(2 * i + 1, 2 * i) for i, held in enumerate(near) if held}
+    assert set(got(near_copies(df), "doc_id", "component_id")) == {(2 * i + 1, 2 * i) for i, held in enumerate(near) if held}
 
 
 def test_bands_try_every_pair(spark, monkeypatch):
-    """A text whose nearest texts by fingerprint are no copies is still linked with its copy, however large the band."""
+    """Every pair of different roots in a key is tried, however large the key is, and no task holds more than CHUNK of it."""
     from tesselar.llm import simhash
 
-    monkeypatch.setattr(simhash, "NEAR", 1)
-    members = spark.createDataFrame([(7, i, i if i % 2 else 0, 10, 9) for i in range(9)], "key long, id long, root long, size long, n long")
-    pairs = set()
-    for nearer, farther in ((0, 1), (1, 4), (4, 16)):
-        pairs |= {tuple(r) for r in simhash.band_pairs(members, 0.8, nearer, farther).collect()}
-    assert pairs == {(i, j) for i in range(9) for j in range(i) if i % 2 or j % 2}
+    monkeypatch.setattr(simhash, "CHUNK", 2)
+    rows = [(key, 100 * key + i, 100 * key + (i if i % 3 == 0 else 1), 10, bytearray(simhash.SKETCH)) for key, n in ((7, 2), (8, 13), (9, 1)) for i in range(n)]
+    members = spark.createDataFrame(rows, "key long, row long, root long, size long, sketch binary")
+    want = {(b[1], a[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2]}
+    pairs = simhash.mixed_pairs(members, 0.8).collect()
+    assert {tuple(r) for r in pairs} == want and len(pairs) == len(want)
+    # first candidates join all parts of a large key
+    monkeypatch.setattr(simhash, "CHUNK", 10)
+    chains = simhash.neighbours(spark.createDataFrame([(1, i, 40) for i in range(40)] + [(2, i, 2) for i in (50, 51)], "key long, row long, n long")).collect()
+    root = list(range(52))
+    for a, b in chains:
+        root = [root[a] if r == root[b] else r for r in root]
+    assert len(set(root[:40])) == 1 and root[50] == root[51] and len(chains) <= 4 * 40 + 1
+
+
+@pytest.mark.parametrize("shard_rows", [4000, 2])
+def test_near_copies_against_brute_force(spark, monkeypatch, shard_rows):
+    """Groups of similar texts, ids that repeat, null ids and texts, and clashing columns, whatever the size of shards and chunks."""
+    from tesselar.llm import simhash
+
+    monkeypatch.setattr(simhash, "CHUNK", 3)
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    texts = []
+    for _ in range(6):
+        base = words(120)
+        texts += [base] + [[w if rng.random() > 0.02 else words(1)[0] for w in base] for _ in range(9)]
+    rows = [(i % 50 if i % 17 else None, " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(2, rows[1][1] + " tail"), (2, " ".join(words(90))), (3, None), (4, ""), (5, "two words"), (6, "TWO words"), (1, rows[1][1]), (1, rows[1][1]), (None, rows[1][1])]
+    order = lambda r: (r[0] is None, r[0] or 0)
+    grams = []
+    for _, t in rows:
+        w = lower(t).split()
+        grams.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    root = list(range(len(rows)))
+    for i, a in enumerate(grams):
+        for j, b in enumerate(grams[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                root = [root[j] if r == root[i] else r for r in root]
+    least = Counter(min(order(rows[i]) for i in range(len(rows)) if root[i] == r) for r in set(root))
+    df = spark.createDataFrame([(*r, *"abcde") for r in rows], "doc_id long, text string, id string, h string, row string, gone_id string, copies string")
+    kept = simhash.without_near_copies(df, shard_rows=shard_rows)
+    assert kept.columns == df.columns and Counter(order(r) for r in kept.select("doc_id").collect()) == least
+    assert {tuple(r) for r in kept.select("doc_id", "text").collect()} <= set(rows)
+    three = spark.createDataFrame([(1, rows[0][1]), (2, rows[0][1] + " tail"), (2, rows[20][1])], "doc_id long, text string")
+    assert got(simhash.without_near_copies(three, shard_rows=shard_rows), "doc_id", "text") == [(1, rows[0][1]), (2, rows[20][1])]
+    assert simhash.without_near_copies(df.limit(0)).count() == 0

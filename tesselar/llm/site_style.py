@@ -1,14 +1,19 @@
 """Main-text extraction with site style trees.
 
-The pages of a host are merged into one style tree: a style node is the path of block elements (with their
-classes) from the body down.  A node's importance is entropy-based: of the texts that its pages put there, how
-evenly each is spread over the pages (1 - mean over texts of log_m(pages with the text), m pages with the node);
-content that differs from page to page scores near 1, what all pages repeat near 0.  Presentation importance
-comes first: branches whose tag, role, class or id marks them as menu, header, footer, sidebar, notice, advert,
-form or comments score 0 whatever they hold.  Each page then loses its low-importance branches.
-
-Scale: two passes over the pages, each in place.  Only (host, node, text) hashes are aggregated, with map-side
-combining; a host's low nodes reach its pages by a join in which hosts with over 1/1000 of the pages are
+The DOMs of a host's pages are merged into one style tree.  An element node is known by its parent's style and its place
+in it; the style of an element on a page is the sequence of its children (block elements with their classes, and text).
+So elements of pages of one layout meet in a node, and where pages differ, each style has its own nodes below.
+
+Importance.  An element node of m pages has the presentation importance -sum p log_m p over its styles; a text node has
+the content importance 1 - the mean over its texts of log_m(pages with the text).  Both are 1 where m is 1, and lean
+towards 1 for few pages: repetition over m pages counts (1 - 1/m)^2.  Importances are composed from the leaves up,
+as the page has them: (1 - g^l) of the node's own and g^l of the mean of its children, l being the number of styles
+and g 0.9.  Priors then scale a branch: by what its tag, role, class or id say of it (menu, header, footer, sidebar,
+notice, advert, form, comments), up inside an article or main element, and down outside of one, by the share of the
+page's text that the article holds.  A branch goes if neither its top nor any node below reaches MIN_IMPORTANCE.
+
+Scale: two passes over the pages, each in place.  Only hashes (node, style or text) are aggregated, with map-side
+combining; a host's nodes of low importance reach its pages by a join in which hosts with over 1/1000 of the pages are
 broadcast and the others shuffled.
 """
 
@@ -17,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
@@ -25,11 +31,13 @@ from pyspark.sql import functions as F
 
 from tesselar.llm.common import join_stats, stored
 
-#: A style node is judged by entropy only where so many pages have it, and removed below this importance.
-MIN_PAGES = 8
 MIN_IMPORTANCE = 0.3
-#: The same inside an article or main element, where only what nearly all pages repeat goes.
-MIN_INSIDE = 0.05
+#: The weight of what children say against the number of styles of their parent.
+DECAY = 0.9
+#: What a branch marked as boilerplate keeps of its importance, and what text in an article has at least.
+MARKED, INSIDE = 0.2, 0.25
+#: Nodes of this importance or more are taken as important throughout.
+CERTAIN = 0.95
 
 # Elements by their role in a page.
 BLOCKS = frozenset(
@@ -77,23 +85,38 @@ def _marked(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     return bool(names & MARKS)
 
 
-def blocks(page: str) -> list[tuple[str, bool, str]]:
-    """(style node, whether inside an article or main element, text) of each block that isn't marked as boilerplate."""
-    found: list[tuple[str, bool, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, dropped, inside
+@dataclass
+class Element:
+    """An element of a page: label is its tag with its classes, children are elements and texts in order.
+
+    inside: it is or lies in an article or main element; around: such an element lies in it.
+    """
+
+    label: str
+    marked: bool = False
+    inside: bool = False
+    around: bool = False
+    children: list[Element | str] = field(default_factory=list)
+
+
+def dom(page: str) -> Element:
+    """The tree of a page's block elements; inline elements are part of their block's text, empty elements have no node."""
+    top = Element("")
+    stack, tags = [top], [""]
     text: list[str] = []
 
     def flush() -> None:
-        path, dropped, inside = stack[-1][1:] if stack else ("", False, False)
-        if text and not dropped:
-            joined = " ".join(html.unescape("".join(text)).split())
-            if joined:
-                found.append((path, inside, joined))
+        joined = " ".join(html.unescape("".join(text)).split()) if text else ""
+        if joined:
+            stack[-1].children.append(joined)
         text.clear()
 
     def close(depth: int) -> None:
         flush()
-        del stack[depth:]
+        while len(stack) > depth:
+            tags.pop()
+            if not stack.pop().children:
+                stack[-1].children.pop()
 
     at, n = 0, len(page)
     while at < n:
@@ -105,14 +128,11 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        block = tag in BLOCKS or tag in BOILERPLATE
         if m[1]:
-            if tag in BLOCKS or tag in BOILERPLATE:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        close(k)
-                        break
-                else:
-                    flush()
+            if block:
+                depth = next((k for k in range(len(tags) - 1, 0, -1) if tags[k] == tag), len(tags))
+                close(depth)
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
@@ -120,54 +140,104 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
             continue
         if tag == "br":
             text.append(" ")
-        if tag in EMPTY and tag != "hr" or not (tag in BLOCKS or tag in BOILERPLATE):
+        if tag in EMPTY and tag != "hr" or not block:
             continue
         flush()
         if tag == "hr":
             continue
-        ends = CLOSED_BY.get(tag, {"p"})
-        while stack and stack[-1][0] in (ends | {"p"}):
-            stack.pop()
-        _, path, dropped, inside = stack[-1] if stack else ("", "", False, False)
+        ends = CLOSED_BY.get(tag, set()) | {"p"}
+        while tags[-1] in ends:
+            close(len(tags) - 1)
         attributes = _attributes(m[3])
-        inside = inside or tag in ("article", "main")
-        style = tag + "".join("." + c for c in sorted(attributes.get("class", "").split()))
-        stack.append((tag, f"{path}/{style}", dropped or _marked(tag, attributes, inside), inside))
-    flush()
-    within = any(b[1] for b in found)
-    return [b for b in found if b[1]] if within else found
+        inside = stack[-1].inside or tag in ("article", "main")
+        label = tag + "".join("." + c for c in sorted(attributes.get("class", "").split()))
+        new = Element(label, _marked(tag, attributes, inside), inside)
+        if inside and not stack[-1].inside:
+            for e in stack:
+                e.around = True
+        stack[-1].children.append(new)
+        stack.append(new)
+        tags.append(tag)
+    close(1)
+    return top
+
+
+def key(*parts: object) -> int:
+    return xxhash.xxh64_intdigest(repr(parts).encode("utf-8", "replace")) - (1 << 63)
+
+
+def style_nodes(element: Element, node: int = 0) -> Iterator[tuple[int, int, bool]]:
+    """(style node, its style or text, whether a text) of an element and all below, in order."""
+    todo: list[tuple[int, Element | str]] = [(node, element)]
+    while todo:
+        node, e = todo.pop()
+        if isinstance(e, str):
+            yield node, key(e), True
+            continue
+        style = key(node, ["" if isinstance(c, str) else c.label for c in e.children])
+        yield node, style, False
+        todo += [(key(style, k), c) for k, c in reversed(list(enumerate(e.children)))]
 
 
-def node_key(path: str) -> int:
-    return xxhash.xxh64_intdigest(path.encode()) - (1 << 63)
+def main_text(page: Element, importance: dict[int, tuple[float, int]]) -> list[str]:
+    """The texts of the branches that stay; importance: (importance, number of styles) of style nodes, others being 1 and alone."""
+    flat: list[tuple[Element | str, int, float, bool]] = []  # in page order: node, place of its parent, prior, inside
+    todo: list[tuple[Element | str, int, float, bool]] = [(page, -1, 1.0, False)]
+    while todo:
+        e, parent, prior, inside = todo.pop()
+        if isinstance(e, Element):
+            prior, inside = prior * (MARKED if e.marked else 1), e.inside
+            todo += [(c, len(flat), prior, inside) for c in reversed(e.children)]
+        flat.append((e, parent, prior, inside))
+    sizes = [sum(len(e) for e, _, prior, inside in flat if isinstance(e, str) and prior == 1 and inside >= least) for least in (False, True)]
+    outside = 1 - sizes[1] / sizes[0] if sizes[0] else 1.0
+    below, greatest = [0.0] * len(flat), [0.0] * len(flat)
+    for i, (node, _, _) in reversed(list(enumerate(style_nodes(page)))):
+        e, parent, prior, inside = flat[i]
+        value, styles = importance.get(node, (1.0, 1))
+        if isinstance(e, Element):
+            share = DECAY**styles
+            value = (1 - share) * value + share * below[i] / max(1, len(e.children))
+        around = isinstance(e, Element) and e.around
+        shown = prior * (INSIDE + (1 - INSIDE) * value if inside else value if around else value * outside)
+        greatest[i] = max(greatest[i], shown)
+        if parent >= 0:
+            below[parent] += value
+            greatest[parent] = max(greatest[parent], greatest[i])
+    stays: list[bool] = []
+    for (_, parent, _, _), most in zip(flat, greatest):
+        stays.append((parent < 0 or stays[parent]) and most >= MIN_IMPORTANCE)
+    return [e for (e, *_), kept in zip(flat, stays) if kept and isinstance(e, str)]
 
 
 def _host(url: object) -> object:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def node_importance(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, node, m, inside, importance) of every style node: m different pages have it."""
+def importances(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, node, m, styles, text, importance) of every style node: m different pages have it, in so many styles or texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = sorted({(p, i, node_key(t)) for p, i, t in blocks(page or "")})
-                copy = node_key(repr(found))  # pages of the same blocks count once
-                last = None
-                for path, inside, content in found:
-                    rows.append((host, node_key(path), content, copy, inside, path != last))
-                    last = path
-            cols = zip(*rows) if rows else [()] * 6
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["host", "node", "content", "copy", "inside", "first"])
+                found = list(style_nodes(dom(page or "")))
+                copy = key(found)  # pages of the same tree and texts count once
+                rows += [(host, node, value, text, copy) for node, value, text in found]
+            types = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+            cols = zip(*rows) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["host", "node", "value", "text", "copy"])
 
     rows = pages.select(_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    found = rows.mapInArrow(run, "host string, node long, content long, copy long, inside boolean, first boolean").distinct()
-    spread = found.groupBy("host", "node", "content").agg(F.count("*").alias("k"), F.sum(F.col("first").cast("int")).alias("first"), F.max("inside").alias("inside"))
-    nodes = spread.groupBy("host", "node").agg(F.sum("first").alias("m"), F.avg(F.ln("k")).alias("evenness"), F.max("inside").alias("inside"))
-    return nodes.select("host", "node", "m", "inside", F.when(F.col("m") > 1, 1 - F.col("evenness") / F.ln("m")).otherwise(1.0).alias("importance"))
+    found = rows.mapInArrow(run, "host string, node long, value long, text boolean, copy long").distinct()
+    values = found.groupBy("host", "node", "text", "value").agg(F.count("*").alias("k"))
+    nodes = values.groupBy("host", "node", "text").agg(
+        F.sum("k").alias("m"), F.count("*").alias("styles"), F.avg(F.ln("k")).alias("mean_ln"), F.sum(F.col("k") * F.ln("k")).alias("sum_ln")
+    )
+    # the entropy of the styles is ln m - sum(k ln k) / m; evenness: how much of the node is repetition, 0 to 1
+    evenness = F.when(F.col("text"), F.col("mean_ln")).otherwise(F.col("sum_ln") / F.col("m")) / F.ln("m")
+    sure = F.pow(1 - 1 / F.col("m"), F.lit(2))
+    return nodes.select("host", "node", "m", "styles", "text", F.when(F.col("m") > 1, 1 - evenness * sure).otherwise(1.0).alias("importance"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -177,20 +247,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     other columns are ignored.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(F.col(url_col)).alias("host"))
-    nodes = node_importance(pages, id_col, url_col, html_col).where((F.col("m") >= MIN_PAGES) & (F.col("importance") < F.when(F.col("inside"), MIN_INSIDE).otherwise(MIN_IMPORTANCE)))
-    low = nodes.groupBy("host").agg(F.collect_list("node").alias("low"))  # one host's style nodes
+    nodes = importances(pages, url_col, html_col).where(F.col("importance") < CERTAIN)
+    low = nodes.groupBy("host").agg(F.collect_list(F.struct("node", "importance", "styles")).alias("low"))  # nodes that pages of the host repeat
     per_host = rows.groupBy("host").agg(F.count("*").alias("n")).join(low, "host", "left")
     per_host = stored(per_host, "style-nodes")
     total = per_host.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, {}
         for b in batches:
             texts = []
-            for page, dropped in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                gone = set(dropped or ())
-                texts.append("\n".join(t for path, _, t in blocks(page or "") if not gone or node_key(path) not in gone))
+            for host, page, low in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)):
+                if host != last:
+                    last, known = host, {x["node"]: (x["importance"], x["styles"]) for x in low.as_py() or ()}
+                texts.append("\n".join(main_text(dom(page or ""), known)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
-    joined = join_stats(rows, per_host, ["host"], "n", total).select("id", "url", "html", "low")
+    joined = join_stats(rows, per_host, ["host"], "n", total).select("id", "url", "host", "html", "low")
     out = joined.mapInArrow(run, "id long, url string, text string, n_chars long")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

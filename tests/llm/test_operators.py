@@ -446,7 +446,7 @@ def test_warc(spark, tmp_path):
 
 
 def test_site_style(spark):
-    from tesselar.llm.site_style import blocks, extract
+    from tesselar.llm.site_style import dom, extract, main_text
 
     page = (
         '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li>menu</ul></nav>'
@@ -464,7 +464,76 @@ def test_site_style(spark):
     assert by[200]["text"] == "" and by[201]["text"] == "a\nb" and by[None]["text"] == "plain < text"
     assert by[202]["text"] == ("long " * 50000).strip()
     assert extract(found.select("page_id", "url", F.col("text").alias("html")).limit(0)).count() == 0
-    assert [t for _, _, t in blocks("<table><tr><td>c<td>d</table>x<script>if(a<b){}</script> y<!-- <p> -->")] == ["c", "d", "x y"]
+    assert main_text(dom("<table><tr><td>c<td>d</table>x<script>if(a<b){}</script> y<!-- <p> -->"), {}) == ["c", "d", "x y"]
+    teaser = f"<body><div><p>{'the whole text ' * 40}</p></div><article><h3>See also</h3></article></body>"
+    assert main_text(dom(teaser), {}) == [("the whole text " * 40).strip(), "See also"]
+    assert main_text(dom("<div>" * 5000 + "deep"), {}) == ["deep"]
+
+
+def test_style_tree_against_plain_recursion(spark):
+    """Pages without article, main or any marked element: only the merged tree tells menus from texts."""
+    from tesselar.llm import site_style
+
+    rng = random.Random(3)
+    phrase = lambda n: " ".join(rng.choice("river stone light house cloud tree".split()) + str(rng.randrange(1000)) for _ in range(n))
+    # a node: a text, or (label, children)
+    def page(host, i):
+        links = ("div.top", [("ul", [("li", [f"{host} {x}"]) for x in ("home", "news", "about")[: 2 + i % 2]])])
+        ad = [("div.box", [("p", [f"offer {rng.randrange(2)}"])])] if i % 3 else []
+        body = ("div.text", [("p", [phrase(8)]) for _ in range(1 + rng.randrange(5))] + [("p", ["all rights of the text"])])
+        return ("", [("body", [links, *ad, body, ("div.end", ["impressum"])])])
+
+    def html(node):
+        if isinstance(node, str):
+            return node
+        tag, _, cls = node[0].partition(".")
+        inner = "".join(map(html, node[1]))
+        return f"<{tag}{' class=' + cls if cls else ''}>{inner}</{tag}>" if tag else inner
+
+    sites = {h: [page(h, i) for i in range(n)] for h, n in (("a.org", 14), ("b.org", 2), ("c.org", 1), ("d.org", 40))}
+    seen = lambda: {"pages": 0, "texts": Counter(), "styles": {}}
+
+    def add(into, node):
+        into["pages"] += 1
+        if isinstance(node, str):
+            into["texts"][node] += 1
+            return
+        style = tuple("" if isinstance(c, str) else c[0] for c in node[1])
+        at = into["styles"].setdefault(style, {"pages": 0, "children": [seen() for _ in style]})
+        at["pages"] += 1
+        for child, c in zip(at["children"], node[1]):
+            add(child, c)
+
+    def kept(tree, node):
+        """(composite importance, texts that stay)"""
+        m = tree["pages"]
+        sure = (1 - 1 / m) ** 2
+        if isinstance(node, str):
+            own = 1 - sure * sum(np.log(k) for k in tree["texts"].values()) / len(tree["texts"]) / np.log(m) if m > 1 else 1.0
+            return own, own, [node]
+        own = 1.0
+        if m > 1:
+            entropy = -sum(s["pages"] / m * np.log(s["pages"] / m) for s in tree["styles"].values()) / np.log(m)
+            own = 1 - (1 - entropy) * sure
+        at = tree["styles"][tuple("" if isinstance(c, str) else c[0] for c in node[1])]
+        below = [kept(t, c) for t, c in zip(at["children"], node[1])]
+        share = site_style.DECAY ** len(tree["styles"])
+        value = (1 - share) * own + share * sum(b[0] for b in below) / len(below)
+        most = max([value, *(b[1] for b in below)])
+        texts = [t for _, high, ts in below if high >= site_style.MIN_IMPORTANCE for t in ts]
+        return value, most, texts
+
+    rows, want, removed = [], {}, 0
+    for host, pages in sites.items():
+        tree = seen()
+        for p in pages:
+            add(tree, p)
+        for p in pages:
+            want[len(rows)] = "\n".join(kept(tree, p)[2])
+            removed += html(p).count("impressum") - want[len(rows)].count("impressum")
+            rows.append((len(rows), f"http://{host}/{len(rows)}", html(p)))
+    found = site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    assert {r["page_id"]: r["text"] for r in found.collect()} == want and removed > 40
 
 
 def test_near_copies_of_every_kind_of_edit(spark):

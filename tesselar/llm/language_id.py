@@ -5,8 +5,9 @@ runs as one space) two texts share, divided by the root of the product of their
 hashed to FEATURES slots.  Nyström landmarks turn kernel values into features, one-versus-rest kernel ridge
 regression is solved on them, and texts are scored in batches by two matrix products.
 
-The model is fitted on a bounded sample (about per_language labelled rows of each of at most MAX_LANGUAGES
-languages); every text is scored whole.  What is broadcast is LANDMARKS x FEATURES floats whatever the corpus.
+The model is fitted on a bounded sample (about per_language labelled rows of each language); every text is scored
+whole.  The normal equations of the ridge regression are summed up in tasks: the driver sees the landmarks and
+matrices of landmarks x landmarks, never the sample.  What is broadcast is max(LANDMARKS, languages) x FEATURES bytes.
 """
 
 from __future__ import annotations
@@ -19,20 +20,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tesselar.llm.common import stored
 
 FEATURES = 1 << 15
 LANDMARKS = 64
 ORDERS = 4
-MAX_LANGUAGES = 200
 PER_LANGUAGE = 250
 RIDGE = 1e-3
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _WHITE = re.compile(rb"[\x09-\x0D\x20]+")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of a letter category; numerals such as Roman or circled ones are none."""
+    return any(map(str.isalpha, text))
+
+
 def presence(text: str) -> np.ndarray:
     """Which slots the text's n-grams take."""
     raw = np.frombuffer(_WHITE.sub(b" ", text.lower().encode("utf-8", "replace")), np.uint8)
@@ -51,53 +56,78 @@ def presence(text: str) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    landmarks: np.ndarray  # FEATURES x landmarks, each column scaled by the root of its number of n-grams
+    landmarks: np.ndarray  # landmarks x FEATURES / 8 bytes: the slots of each landmark as bits
     weights: np.ndarray  # landmarks x languages
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        x = np.stack([presence(t) for t in texts]).astype(np.float32)
-        norm = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-        return (x @ self.landmarks / norm) @ self.weights
+    def scores(self, texts: list[str], marks: np.ndarray | None = None) -> np.ndarray:
+        """A row of scores per text; marks: the landmarks, unpacked."""
+        return kernel(np.stack([presence(t) for t in texts]), unpacked(self.landmarks) if marks is None else marks) @ self.weights
+
+
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bits, axis=1).astype(bool)
+
+
+def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Shared slots of each pair of rows of x and y, divided by the root of the product of their numbers."""
+    x, y = x.astype(np.float32, copy=False), y.astype(np.float32, copy=False)
+    return x @ y.T / np.sqrt(np.maximum(x.sum(axis=1), 1)[:, None] * np.maximum(y.sum(axis=1), 1))
 
 
 def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model | None:
-    """A model from rows(id, text, lang), or None if no row has a text and a language."""
+    """A model from rows(id, text, lang), or None if no row has a text and a language.
+
+    The sample holds about per_language rows of each language, by a hash of id and text; the landmarks are its first
+    rows by that hash, the languages taking turns, at least one of each.
+    """
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    counts = counts.collect()  # at most MAX_LANGUAGES rows
-    if not counts:
-        return None
-    share = rows.sparkSession.createDataFrame([(r["lang"], per_language / r["n"]) for r in counts], "lang string, share double")
-    place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.join(F.broadcast(share), "lang").withColumn("place", place).where("place < share")
+    place = F.pmod(F.xxhash64(F.col("id").cast("string"), "text", F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    counts = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
+    picked = rows.join(counts, "lang").withColumn("place", place).where(F.col("place") * F.col("n") < per_language)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                bits = [np.packbits(presence(t)).tobytes() for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(bits, pa.binary()), part.column(1), part.column(2)], ["bits", "lang", "place"])
+                packed = [np.packbits(presence(t)).tobytes() for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), part.column(1), part.column(2)], ["bits", "lang", "place"])
 
-    found = picked.select("text", "lang", "place").mapInArrow(run, "bits binary, lang string, place double")
+    found = picked.select("text", "lang", "place").mapInArrow(bits, "bits binary, lang string, place double")
     found = stored(found, "language-sample")
-    sample = found.orderBy("place", "lang").limit(2 * per_language * len(counts)).collect()  # bounded by parameters
-    languages = sorted({r["lang"] for r in sample})
-    x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in sample]).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    label = np.array([languages.index(r["lang"]) for r in sample])
-    nth = np.zeros(len(label), int)  # landmarks take turns among the languages
-    for k in range(len(languages)):
-        nth[label == k] = np.arange((label == k).sum())
-    marks = x[np.lexsort((label, nth))[: max(landmarks, len(languages))]]
-    w, v = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    per = {r["lang"]: r["n"] for r in found.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    if not per:
+        return None
+    languages = sorted(per)
+    turn = F.row_number().over(W.partitionBy("lang").orderBy("place", "bits"))  # the sample is bounded
+    marks = found.withColumn("nth", turn).orderBy("nth", "lang").limit(max(landmarks, len(languages))).collect()
+    packed = np.stack([np.frombuffer(r["bits"], np.uint8) for r in marks])
+    w, v = np.linalg.eigh(kernel(unpacked(packed), unpacked(packed)).astype(np.float64))
     keep = w > 1e-6 * w.max()
     root = v[:, keep] / np.sqrt(w[keep])
-    phi = (x @ marks.T).astype(np.float64) @ root
-    y = (label[:, None] == np.arange(len(languages))).astype(float)
-    balance = 1.0 / np.bincount(label, minlength=len(languages))[label][:, None]  # each language weighs alike
-    a = phi.T @ (phi * balance) + RIDGE * np.eye(phi.shape[1])
-    weights = root @ np.linalg.solve(a, phi.T @ (y * balance))
-    return Model(languages, np.ascontiguousarray(marks.T), weights.astype(np.float32))
+    size, k = root.shape[1], len(languages)
+    shared = rows.sparkSession.sparkContext.broadcast((packed, root))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y = unpacked(shared.value[0]).astype(np.float32)
+        a, t = np.zeros((size, size)), np.zeros((size, k))
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                x = unpacked(np.stack([np.frombuffer(r, np.uint8) for r in part.column(0).to_pylist()]))
+                phi = kernel(x, y).astype(np.float64) @ shared.value[1]
+                label = [languages.index(r) for r in part.column(1).to_pylist()]
+                weighed = phi / np.array([per[languages[c]] for c in label])[:, None]  # each language weighs alike
+                a += phi.T @ weighed
+                np.add.at(t.T, label, weighed)
+        cells = np.hstack([a, t]).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells.size), pa.int64()), pa.array(cells)], ["cell", "part"])
+
+    cells = np.zeros(size * (size + k))
+    for r in found.select("bits", "lang").mapInArrow(sums, "cell long, part double").groupBy("cell").agg(F.sum("part").alias("part")).collect():
+        cells[r["cell"]] = r["part"]  # landmarks x (landmarks + languages) numbers
+    cells = cells.reshape(size, size + k)
+    weights = root @ np.linalg.solve(cells[:, :size] + RIDGE * np.eye(size), cells[:, size:])
+    return Model(languages, packed, weights.astype(np.float32))
 
 
 def predict(rows: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", batch: int = 128) -> DataFrame:
@@ -109,14 +139,15 @@ def predict(rows: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        y = unpacked(m.landmarks).astype(np.float32) if m else None
         for b in batches:
             for lo in range(0, b.num_rows, batch):
                 part = b.slice(lo, batch)
                 texts = part.column(1).to_pylist()
-                at = [k for k, t in enumerate(texts) if m and t and _LETTER.search(t)]
+                at = [k for k, t in enumerate(texts) if m and t and has_letter(t)]
                 lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 if at:
-                    s = m.scores([texts[k] for k in at])
+                    s = m.scores([texts[k] for k in at], y)
                     best = s.argmax(axis=1)
                     score[at] = np.clip(s.max(axis=1), 0, 1)
                     for k, i in zip(at, best):

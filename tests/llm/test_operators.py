@@ -337,12 +337,13 @@ def test_language_id(spark):
     langs = {"en": "the of and with that house over".split(), "de": "der die und mit dass haus über".split(), "fr": "le la et avec que maison été".split()}
     table = [(i, " ".join(RND.choice(langs[k]) for _ in range(30)), k, "clash") for i, k in enumerate(list(langs) * 60)]
     table += [(900, None, "en", ""), (901, "", "en", ""), (902, "123 ... 45", "en", ""), (903, "the of and " * 20000, None, ""), (None, "der die und mit", "de", "")]
+    table += [(904, "½ ² ①", "de", ""), (905, "Ⅷ", "de", ""), (906, "_ 12 %", "de", "")]
     df = spark.createDataFrame(table, "doc_id long, text string, lang string, score string")
     found = {r["doc_id"]: r for r in identify(df).collect()}
     for i, t, k, _ in table:
         r = found[i]
         assert r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r["score"] <= 1
-        if i in (900, 901, 902):
+        if i in (900, 901, 902, 904, 905, 906):
             assert r["lang_pred"] == "und"
         else:
             assert r["lang_pred"] == (k or "en")
@@ -351,6 +352,36 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in identify(unlabelled).collect()} == {"und"}
 
 
+def test_language_id_against_plain_ridge_regression(spark):
+    """Kernel values by sets of n-grams, the ridge regression solved at once; the model is summed up in tasks."""
+    from tesselar.llm import language_id as li
+
+    langs = {"en": "the of and with that house over", "de": "der die und mit dass haus über", "fr": "le la et avec que maison été"}
+    table = [(i, " ".join(RND.choice(langs[k].split()) for _ in range(1 + i % 9)), k) for i, k in enumerate([*langs, "en", "en"] * 25)]
+    model = li.fit(spark.createDataFrame(table, "id long, text string, lang string").repartition(3), per_language=10_000, landmarks=12)
+
+    def slots(text):
+        raw, found = re.sub(rb"[\x09-\x0D\x20]+", b" ", text.lower().encode()), set()
+        for at in range(len(raw)):
+            h = 0
+            for n, c in enumerate(raw[at : at + li.ORDERS], 1):
+                h = (h * 0x01000193 + c + n) & 0xFFFFFFFF
+                found.add((h * 0x9E3779B1 & 0xFFFFFFFF) >> 17)
+        return found
+
+    sets = [slots(t) for _, t, _ in table]
+    marks = [set(np.flatnonzero(x)) for x in li.unpacked(model.landmarks)]
+    assert len(marks) == 12 and all(m in sets for m in marks) and model.languages == sorted(langs)
+    k = lambda one, other: np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in other] for a in one])
+    gram, y = k(sets, marks), np.array([[c == x for x in model.languages] for _, _, c in table], float)
+    weigh = 1 / y.sum(axis=0)[y.argmax(axis=1)][:, None]
+    w, v = np.linalg.eigh(k(marks, marks))
+    root = v[:, w > 1e-6 * w.max()] / np.sqrt(w[w > 1e-6 * w.max()])
+    phi = gram @ root
+    want = phi @ np.linalg.solve(phi.T @ (phi * weigh) + li.RIDGE * np.eye(phi.shape[1]), phi.T @ (y * weigh))
+    assert np.abs(model.scores([t for _, t, _ in table]) - want).max() < 1e-3
+
+
 def test_pii(spark):
     from tesselar.llm import pii
 

@@ -1,83 +1,137 @@
 """Exact deduplication over a log-structured merge index, in DataFrame functions only.
 
-Rows are hashed into runs ("memtables"); each run is flushed as one digest-sorted Parquet file that carries
-min/max statistics and a Bloom filter on the digest, so that later point probes (`probe`) skip runs.
-Compaction merges all runs into one sorted level with a row per digest: the identifier that stays and the
-number of rows.  Every row that hits a digest of several rows is then compared byte for byte with the text of
-the row that stays; rows that differ (digest collisions) are regrouped by their whole text.
-
-Scale: the digests shuffle twice (32 bytes a row), the texts once.  Groups with more than 1/1000 of all rows
-are found in the compacted level (at most 1000 of them) and salted for the byte comparison.
+A task's rows are its memtable: it flushes them as one digest-sorted Parquet run, without a shuffle.  Compaction merges
+the runs into one sorted level with a row per digest: the identifier that stays and the number of rows.  The level's
+digests that several rows hit are put in a filter, a bitmap in SQL.  Rows are looked up in the filter first: those that
+it turns away are alone, and their texts stay where they are.  The texts of the others meet by digest and are compared
+byte for byte with that of the row that stays; rows that differ (digest collisions) are regrouped by their whole text.
+
+Scale: the digests shuffle once (40 bytes a row, combined in the tasks first), texts shuffle once and only where the
+filter has a hit.  The filter is at most FILTER_BITS large; with more hits it lets more rows through, which are then told
+apart by the level.  Groups with more than 1/1000 of all rows are found in the level (at most 1000 of them) and salted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tesselar.llm.common import HOT_SHARE, ascii_lower, shuffle_partitions, stored
+from tesselar.llm.common import HOT_SHARE, ascii_lower, fresh, stored
 
-#: Rows of a memtable; small inputs use smaller ones so that flushing stays parallel.
+#: Rows of a memtable at most.
 MEMTABLE_ROWS = 4_000_000
+#: Bits of the filter, for each hit and at most (64 MB).
+BITS_PER_HIT, FILTER_BITS = 16, 1 << 29
+BITMAP_BITS = 32768  # fixed by the bitmap functions
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, digest_chars: int) -> DataFrame:
+def keyed(docs: DataFrame, id_col: str, text_col: str, digest_chars: int, carry: bool = False) -> DataFrame:
+    """(id, norm, sha, digest) of every row, with carry also the row itself as a struct."""
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    df = docs.select(F.col(id_col).alias("id"), text.alias("norm")).withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256))
-    return df.withColumn("digest", F.unhex(F.substring("sha", 1, digest_chars)))
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    df = docs.select(F.col(id_col).alias("id"), text.alias("norm"), *row)
+    df = df.withColumn("sha", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
+    return df.withColumn("digest", F.substring("sha", 1, digest_chars // 2))
 
 
 def flush(rows: DataFrame, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
-    """Digest-sorted runs (run, digest, id, copies), one file each, with a Bloom filter on digest."""
-    total = rows.count()
-    n_runs = max(1, -(-total // memtable_rows), min(shuffle_partitions(rows.sparkSession), -(-total // 10_000)))
-    runs = (
-        rows.select(F.pmod(F.xxhash64("id", "digest"), F.lit(n_runs)).cast("int").alias("run"), "digest", "id")
-        .repartition(n_runs, "run")
-        .groupBy("run", "digest", "id")
-        .agg(F.count("*").alias("copies"))
-        .sortWithinPartitions("run", "digest")
-    )
-    return stored(runs, "lsm-runs", **{"parquet.bloom.filter.enabled#digest": "true"})
+    """Digest-sorted runs (id, sha, digest): one file per task and memtable_rows rows."""
+    sorted_rows = rows.select("id", "sha", "digest").sortWithinPartitions("digest", "id")
+    return stored(sorted_rows, "lsm-runs", maxRecordsPerFile=str(memtable_rows))
 
 
 def compact(runs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """The merged level: (digest, head, head_copies, n), sorted by digest within its files."""
-    pick = {"smallest": (F.min, F.min_by), "largest": (F.max, F.max_by)}[keep]
-    level = runs.groupBy("digest").agg(
-        pick[0]("id").alias("head"),
-        F.coalesce(pick[1]("copies", "id"), F.sum("copies")).alias("head_copies"),
-        F.sum("copies").alias("n"),
-    )
-    return stored(level.sortWithinPartitions("digest"), "lsm-level", **{"parquet.bloom.filter.enabled#digest": "true"})
-
-
-def probe(level: DataFrame, digests: list[bytes]) -> DataFrame:
-    """Rows of a level for a few digests; row-group statistics and Bloom filters prune the read."""
-    return level.where(F.col("digest").isin([F.lit(d) for d in digests]))
-
-
-def _verified(rows: DataFrame, level: DataFrame, total: int) -> DataFrame:
-    """Each row with head, n and whether its text equals the head's byte for byte."""
+    """The merged level: (digest, head, n), sorted by digest within its files."""
+    pick = {"smallest": F.min, "largest": F.max}[keep]
+    level = runs.groupBy("digest").agg(pick("id").alias("head"), F.count("*").alias("n"))
+    return stored(level.sortWithinPartitions("digest"), "lsm-level")
+
+
+def merge(levels: list[DataFrame], keep: str = "smallest") -> DataFrame:
+    """One level of several, such as that of a new batch and the one before it."""
+    pick = {"smallest": F.min, "largest": F.max}[keep]
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    merged = every.groupBy("digest").agg(pick("head").alias("head"), F.sum("n").alias("n"))
+    return stored(merged.sortWithinPartitions("digest"), "lsm-level")
+
+
+class HitFilter:
+    """A bitmap over the digests of a level that several rows hit."""
+
+    def __init__(self, level: DataFrame) -> None:
+        hits = level.where("n > 1")
+        blocks = -(-BITS_PER_HIT * hits.count() // BITMAP_BITS)
+        self.bits = BITMAP_BITS * max(1, min(blocks, FILTER_BITS // BITMAP_BITS))
+        slot = self._slot()
+        found = hits.groupBy(F.bitmap_bucket_number(slot).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap"))
+        self.bitmaps = stored(found, "lsm-filter")  # at most FILTER_BITS / BITMAP_BITS rows of 4 KB
+
+    def _slot(self) -> Column:
+        return F.pmod(F.xxhash64("digest"), F.lit(self.bits))
+
+    def probe(self, rows: DataFrame) -> DataFrame:
+        """rows with `maybe`: false only for digests that are no hits."""
+        slot = self._slot()
+        at = F.bitmap_bit_position(slot)
+        byte = F.conv(F.hex(F.col("bitmap").substr((F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        probed = rows.withColumn("block", F.bitmap_bucket_number(slot)).join(F.broadcast(self.bitmaps), "block", "left")
+        return probed.withColumn("maybe", F.coalesce(F.bit_get(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("block", "bitmap")
+
+
+def _compared(rows: DataFrame, level: DataFrame, found: HitFilter, total: int) -> DataFrame:
+    """The rows that pass the filter, with head, n and whether their text equals the head's byte for byte."""
     salts = F.greatest(F.lit(1), F.ceil(F.col("n") * HOT_SHARE / F.lit(max(total, 1)))).cast("int")
-    level = level.withColumn("salts", salts)
-    hot = level.where("salts > 1").select("digest", "salts")  # at most HOT_SHARE rows, as their n sum up to total
+    level = found.probe(level).where("maybe").select("digest", "head", "n", salts.alias("salts"))
+    hot = level.where("salts > 1").select("digest", "salts", "head")  # at most HOT_SHARE rows, as their n sum up to total
     spread = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
-    found = (
-        rows.join(F.broadcast(hot), "digest", "left")
-        .withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int"))
-        .drop("salts")
-        .join(level.select("*", spread).hint("shuffle_merge"), ["digest", "salt"])
-    )
-    heads = (
-        found.where((F.col("n") > 1) & F.col("id").eqNullSafe(F.col("head")))
-        .groupBy("digest")
-        .agg(F.min("norm").alias("head_norm"), F.first("salts").alias("salts"))
-        .select("digest", "head_norm", spread)
-    )
-    same = (F.col("n") == 1) | F.coalesce(F.col("norm") == F.col("head_norm"), F.lit(False))
-    return found.join(heads.hint("shuffle_merge"), ["digest", "salt"], "left").select("id", "sha", "digest", "head", "head_copies", "n", same.alias("same"))
+    held = found.probe(rows).where("maybe").drop("maybe")
+    salted = held.join(F.broadcast(hot.select("digest", "salts")), "digest", "left")
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("id", "sha"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts").withColumn("first", F.lit(False))
+    if not hot.isEmpty():  # the text that stays goes to every part of a hot group
+        heads = rows.join(F.broadcast(hot.select(F.col("digest").alias("hot"), F.col("head").alias("of"))), F.col("id").eqNullSafe(F.col("of")))
+        heads = heads.where("digest = hot").groupBy("digest").agg(F.min("norm").alias("norm"))
+        heads = heads.join(F.broadcast(hot), "digest").select("digest", "norm", spread, F.lit(True).alias("first"))
+        salted = salted.unionByName(heads, allowMissingColumns=True)
+    met = salted.join(level.select("digest", "head", "n", spread).hint("shuffle_merge"), ["digest", "salt"])
+    order = W.partitionBy("digest", "salt").orderBy(F.desc("first"), F.desc(F.col("id").eqNullSafe(F.col("head"))), "norm").rowsBetween(W.unboundedPreceding, 0)
+    met = met.withColumn("same", F.col("norm") == F.first("norm").over(order))
+    return met.where("NOT first").drop("first", "salt")
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, keep: str, memtable_rows: int, digest_chars: int, carry: bool) -> tuple[DataFrame, DataFrame, HitFilter]:
+    """Rows that pass the filter (id, sha, head, n, kept, and row if carry), the runs and the filter."""
+    rows = keyed(docs, id_col, text_col, digest_chars, carry)
+    runs = flush(rows, memtable_rows)
+    level = compact(runs, keep)
+    total = level.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = HitFilter(level)
+    row = ["row"] if carry else []
+    checked = stored(_compared(rows, level, found, total).select("id", "sha", "digest", "head", "n", "same", *row), "lsm-verified")
+    is_head = F.col("id").eqNullSafe(F.col("head"))
+    good = checked.where("same").withColumn("kept", is_head)
+    twice = good.where("kept").groupBy("digest").agg(F.count("*").alias("heads")).where("heads > 1")
+    if not twice.isEmpty():  # rows repeated with their id: one of them stays
+        twice = stored(twice, "lsm-repeated")
+        nth = F.row_number().over(W.partitionBy("digest").orderBy("sha"))
+        one = good.where("kept").join(twice.select("digest"), "digest", "left_semi").withColumn("kept", nth == 1)
+        good = good.where("NOT kept").unionByName(good.where("kept").join(twice.select("digest"), "digest", "left_anti")).unionByName(one)
+    bad = checked.where("NOT same")
+    if not bad.isEmpty():
+        pick = {"smallest": F.min, "largest": F.max}[keep]
+        fewer = bad.groupBy("digest").agg(F.count("*").alias("others"))
+        good = good.join(fewer, "digest", "left").withColumn("n", F.col("n") - F.coalesce("others", F.lit(0)))
+        rows = rows.join(bad.select("digest").distinct(), "digest", "left_semi").join(level.select("digest", "head"), "digest")
+        heads = rows.where(F.col("id").eqNullSafe(F.col("head"))).groupBy("digest").agg(F.min("norm").alias("head_norm"))
+        apart = rows.join(heads, "digest").where("norm != head_norm").drop("head", "digest")
+        groups = apart.groupBy("norm").agg(pick("id").alias("head"), F.count("*").alias("n"))
+        nth = F.row_number().over(W.partitionBy("norm", "id").orderBy("sha"))
+        apart = apart.withColumn("nth", nth).join(groups, "norm").withColumn("kept", F.col("id").eqNullSafe(F.col("head")) & (F.col("nth") == 1))
+        out = ["id", "sha", "head", "n", "kept", *row]
+        good = good.select(*out).unionByName(apart.select(*out))
+    return good, runs, found
 
 
 def exact_dedup(
@@ -95,49 +149,20 @@ def exact_dedup(
     Of rows repeated with the same id and text exactly one is kept.  digest_chars under 64 shortens the digest
     of the index (tests force collisions with it); results don't depend on it.
     """
-    spark: SparkSession = docs.sparkSession
-    rows = keyed(docs, id_col, text_col, digest_chars)
-    runs = flush(rows.select("id", "digest"), memtable_rows)
-    level = compact(runs, keep)
-    total = runs.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    checked = stored(_verified(rows, level, total), "lsm-verified")
-
-    good = checked.where("same")
-    is_head = F.col("id").eqNullSafe(F.col("head"))
-    if not level.where("head_copies > 1").isEmpty():  # rows repeated with their id: one of them stays
-        repeated = is_head & (F.col("head_copies") > 1)
-        first = F.row_number().over(W.partitionBy("digest").orderBy("sha")) == 1
-        good = good.where(~repeated).withColumn("kept", is_head).unionByName(good.where(repeated).withColumn("kept", first))
-    else:
-        good = good.withColumn("kept", is_head)
-    bad = checked.where("NOT same")
-    if not bad.isEmpty():
-        fewer = bad.groupBy("digest").agg(F.count("*").alias("others"))
-        good = good.join(fewer, "digest", "left").withColumn("n", F.col("n") - F.coalesce("others", F.lit(0)))
-        pick = {"smallest": F.min, "largest": F.max}[keep]
-        apart = rows.join(bad.select("sha").distinct(), "sha", "left_semi").join(level.select("digest", "head"), "digest")
-        heads = rows.select("digest", F.col("id").alias("head"), F.col("norm").alias("head_norm")).join(level.select("digest", "head"), ["digest", "head"], "left_semi").dropDuplicates(["digest", "head"])
-        apart = apart.join(heads, ["digest", "head"], "left").where("NOT coalesce(norm = head_norm, false)").select("id", "sha", "norm")
-        groups = apart.groupBy("norm").agg(pick("id").alias("head"), F.count("*").alias("n"))
-        order = W.partitionBy("norm", "id").orderBy("sha")
-        apart = apart.withColumn("nth", F.row_number().over(order)).join(groups, "norm").withColumn("kept", F.col("id").eqNullSafe(F.col("head")) & (F.col("nth") == 1))
-        good = good.select("id", "head", "n", "kept", "sha").unionByName(apart.select("id", "head", "n", "kept", "sha"))
-    return good.select(
+    good, runs, found = _decided(docs, id_col, text_col, keep, memtable_rows, digest_chars, False)
+    alone = found.probe(runs).where("NOT maybe").select("id", "sha", F.col("id").alias("head"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("kept"))
+    return good.select("id", "sha", "head", "n", "kept").unionByName(alone).select(
         F.col("id").alias(id_col),
         F.col("head").alias("keep_id"),
         F.col("n").cast("long").alias("group_size"),
         F.col("kept"),
-        F.col("sha").alias("text_sha256"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
-    out = exact_dedup(docs, id_col, text_col, keep)
-    kept = out.where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.withColumn("__sha", F.sha2(text.cast("binary"), 256)).withColumn("__id", F.col(id_col))
-    on = rows["__id"].eqNullSafe(kept["__id"]) & (rows["__sha"] == kept["__sha"])
-    if not out.groupBy(id_col).count().where("count > 1").isEmpty():
-        return rows.join(kept, on, "left_semi").dropDuplicates(["__id", "__sha"]).drop("__sha", "__id")
-    return rows.join(kept, on, "left_semi").drop("__sha", "__id")
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with all their columns; the texts of rows alone stay where they are."""
+    good, _, found = _decided(docs, id_col, text_col, keep, memtable_rows, 64, True)
+    whole = fresh(docs, "whole")
+    alone = found.probe(keyed(docs, id_col, text_col, 64, True)).where("NOT maybe").select(F.col("row").alias(whole))
+    return good.where("kept").select(F.col("row").alias(whole)).unionByName(alone).select(f"{whole}.*")

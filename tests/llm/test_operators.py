@@ -61,13 +61,33 @@ def test_exact_dedup(spark, docs, rows):
             seen.add((i, lower(t)))
             want.append((i, head, len(groups[lower(t)]), kept, hashlib.sha256(lower(t).encode()).hexdigest()))
         columns = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
-        for chars in (64, 1):  # a digest of one hex digit collides all the time
+        for chars in (64, 2, 1):  # digests of one byte and of none collide
             assert got(exact_dedup(docs, keep=keep, digest_chars=chars, memtable_rows=10), *columns) == sorted(want, key=str)
     kept = survivors(docs)
     assert kept.columns == docs.columns and kept.count() == len({lower(t) for _, t, _ in rows})
     assert exact_dedup(docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_asks_the_filter(spark, monkeypatch):
+    """Rows that the filter turns away are never looked up; a small filter lets more rows through, none less."""
+    from tesselar.llm import exact_dedup as ed
+
+    docs = spark.createDataFrame([(i, f"text {i % 4000}", "c") for i in range(5000)], "doc_id long, text string, row string").repartition(3)
+    level = ed.compact(ed.flush(ed.keyed(docs, "doc_id", "text", 64)))
+    assert sorted(r["n"] for r in level.collect()) == [1] * 3000 + [2] * 1000
+    probed = ed.HitFilter(level).probe(level)
+    assert probed.where("n > 1 AND NOT maybe").count() == 0 and probed.where("n = 1 AND maybe").count() < 600
+    monkeypatch.setattr(ed, "BITS_PER_HIT", 0.5)
+    assert ed.HitFilter(level).bits == ed.BITMAP_BITS
+    want = sorted((i, i % 4000, 2 if i % 4000 < 1000 else 1, i < 4000) for i in range(5000))
+    assert got(ed.exact_dedup(docs), "doc_id", "keep_id", "group_size", "kept") == sorted(want, key=str)
+    assert ed.survivors(docs).columns == docs.columns and ed.survivors(docs).count() == 4000
+    again = ed.compact(ed.flush(ed.keyed(docs.where("doc_id < 100"), "doc_id", "text", 64)))
+    assert ed.merge([level, again]).where("n > 2 AND head < 100").count() == 100
+    monkeypatch.setattr(ed.HitFilter, "probe", lambda self, rows: rows.withColumn("maybe", F.lit(False)))
+    assert ed.exact_dedup(docs).where("NOT kept").count() == 0  # without the filter no copy is found
+
+
 def fingerprint(t, width=3):
     w = WORD.findall(lower(t))
     shingles = [" ".join(w[k : k + width]) for k in range(len(w) - width + 1)] or ([" ".join(w)] if w else [])

@@ -472,7 +472,7 @@ def test_pii_collisions(spark, monkeypatch):
 
 
 def test_warc(spark, tmp_path):
-    from tesselar.llm.warc import LoserTree, archive
+    from tesselar.llm.warc import LoserTree, archive, merged, merged_index
 
     pages = [(i, f"http://www.a.org:80/p{i % 3}?x=1#f", ("x" * (1200 if i % 2 else 10)) + ("\r\n\r\nWARC/1.1 ü" if i % 5 == 0 else "")) for i in range(40)]
     pages += [(98, "u", "y" * 2000), (None, "u", "y" * 2000), (99, None, None), (98, "u", "y" * 2000), (97, "http://b.c/\r\nX: y", "é" * 600)]
@@ -494,6 +494,13 @@ def test_warc(spark, tmp_path):
     for k in range(6):
         runs = [sorted((RND.randrange(50),) for _ in range(RND.randrange(20))) for _ in range(k)]
         assert list(LoserTree(runs)) == sorted(x for r in runs for x in r)
+    runs = [sorted((RND.randrange(50), k) for _ in range(RND.randrange(4))) for k in range(300)]
+    assert merged(runs) == sorted(x for r in runs for x in r)
+    # many runs in many ranges; one URL holds a third of all captures, and rows are repeated
+    rows = [(("hot" if i % 3 == 0 else f"k{i * 7 % 50}"), str(1000 + i * 13 % 400), None if i % 11 == 0 else i % 90, "response", 1, "d", None, "t", f"f{i % 37}", i // 37, 1) for i in range(900)]
+    whole = index.sparkSession.createDataFrame(rows, index.schema).repartition(5).sortWithinPartitions("file", "url_key", "timestamp", "page_id", "file", "position")
+    found = [(r[0], r[1], (-1, 0) if r[2] is None else (0, r[2]), r[8], r[9]) for r in merged_index(whole, 40).collect()]
+    assert found == sorted((r[0], r[1], (-1, 0) if r[2] is None else (0, r[2]), r[8], r[9]) for r in rows)
 
 
 def test_site_style(spark):

@@ -5,19 +5,21 @@ A byte goes if a WINDOW-byte string over it also starts in a document with a sma
 1. Anchored suffixes.  Every window picks the position of its least GRAM-byte gram (by hash, leftmost first), so
    equal windows pick equal grams at equal offsets.  A maximal run of windows with one anchor is a segment; a
    document's windows are partitioned into segments of some 20 windows.  Anchored suffixes are range-partitioned
-   by their leading eight bytes with splitters from a bounded sample of anchors (a group never straddles a
-   boundary, as splitters cut between leading bytes), and each bucket is sorted by multikey quicksort over the
-   gram, the segment and the id.  A segment that a smaller id has too is covered as a whole.  Before the shuffle,
-   each task keeps just the smallest id of a segment it has met, so a group that holds a third of all rows
-   arrives as one record per task.
+   by their leading two words (of eight bytes; the second cuts frequent first ones) with splitters from a bounded
+   sample of anchors, and each bucket is sorted by multikey quicksort: in suffix order of these words, then by the
+   segment and the id.  Splitters cut between suffixes of different words, so suffixes on the two sides of a boundary
+   have no window in common and the comparison of neighbours ends there.  A segment that a smaller id has too is
+   covered as a whole.  Before the shuffle, each task keeps just the smallest id of a segment it has met, so a group
+   that holds a third of all rows arrives as one record per task.
 2. Suffixes at the edges of matches.  Where one anchor has different segments whose bytes to its left or right
    agree, their windows may still be shared in part.  These windows, of the smallest id of each such segment, are
-   the suffixes of a second array, keyed by their leading bytes and a 64-bit hash of the rest of the window, again
-   with splitters and multikey quicksort, and a suffix that a smaller id has is marked.
+   the suffixes of a second array, in the order of their first word and a 64-bit hash of the rest of the window, with
+   the same splitters and multikey quicksort, and a suffix that a smaller id has is marked.
 3. Marks and covered segments meet their document, overlapping spans are merged and cut out.
 
-Segments are compared by 56-bit hashes among those of one gram, windows by 64-bit hashes among those of the same
-leading bytes; nothing is capped.  Texts are shuffled once (2 and 3 share the exchange).  Long texts are worked on in pieces.
+Segments are compared by 56-bit hashes among those of the same 16 leading bytes, windows by 64-bit hashes among those of
+the same first word; nothing is capped.  Texts are shuffled once (2 and 3 share the exchange).  Partitions grow in number
+with the data.  Long texts are worked on in pieces.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ SPAN = WINDOW - GRAM + 1  # anchor positions of a window
 PIECE = 1 << 18  # bytes worked on at a time
 FLUSH = 300_000  # records gathered before they are dealt to buckets
 BUCKET = 500_000  # records of a bucket, about
+TEXT_BYTES = 64 << 20  # texts of a partition, about
 SAMPLE_DOCS, SAMPLE_ANCHORS = 2000, 40_000
 
 _U = np.uint64
@@ -100,8 +103,7 @@ class Segments:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * power[: len(b)], dtype=np.uint64)])
         rolled = (total[stop] - total[self.start]) * inverse[self.start]
         self.hash = _mixed(rolled + (self.anchor - self.start).astype(np.uint64) * _U(0xD6E8FEB86659FD93) + self.n.astype(np.uint64)) >> _U(8)
-        self.gram = gram[self.anchor] & _U(0xFFFFFFFF)  # the bits that didn't choose the anchor
-        self.lead = w[self.anchor].byteswap()
+        self.lead, self.next = w[self.anchor].byteswap(), w[self.anchor + 8].byteswap()
         # a shared window has 17 bytes or more in common on one side of the anchor
         side = lambda long, at: np.where(long, gram[np.clip(at, 0, len(gram) - 1)] % _U(255) + _U(1), _U(0))
         self.left = side(self.anchor - self.start >= 17, self.anchor - GRAM)
@@ -194,7 +196,7 @@ def unpack(blob: bytes, widths: list[int]) -> list[np.ndarray]:
 
 DEALT = "bucket int, ids binary, rows binary"
 SPANS = "id long, v long, kind int, start long, size int"
-ANCHOR_WIDTHS = [4, 7, 3, 5, 1, 1, 1]  # gram, segment, row, start, windows, left, right
+ANCHOR_WIDTHS = [8, 8, 7, 3, 5, 1, 1, 1]  # leading words, segment, row, start, windows, left, right
 SUFFIX_WIDTHS = [8, 8, 3, 5]  # leading bytes, hash of the rest, row, start
 
 
@@ -255,6 +257,11 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
             yield b.slice(lo, rows)
 
 
+def two_words(lead: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """The 16 leading bytes of suffixes, comparable as bytes."""
+    return np.stack([lead, following], axis=1).astype(">u8").view("S16").ravel()
+
+
 def splitters(rows: DataFrame, total: int, buckets: int) -> np.ndarray:
     """Leading words that cut the sampled anchors into buckets of even size; the sample is bounded."""
 
@@ -262,17 +269,17 @@ def splitters(rows: DataFrame, total: int, buckets: int) -> np.ndarray:
         for b in batches:
             for _, _, text in _texts(b):
                 for raw, ends, _, _ in pieces([(0, text)]):
-                    lead = Segments(raw, ends).lead
-                    lead = lead[:: max(1, len(lead) * SAMPLE_DOCS // SAMPLE_ANCHORS)]
-                    yield pa.RecordBatch.from_arrays([pa.array(lead.view(np.int64), pa.int64())], ["lead"])
+                    found = Segments(raw, ends)
+                    step = max(1, len(found.lead) * SAMPLE_DOCS // SAMPLE_ANCHORS)
+                    yield pa.RecordBatch.from_arrays([pa.array(w[::step].view(np.int64), pa.int64()) for w in (found.lead, found.next)], ["lead", "next"])
 
     some = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, total // SAMPLE_DOCS))) == 0)
-    lead = some.mapInArrow(run, "lead long").limit(4 * SAMPLE_ANCHORS).toPandas()["lead"].to_numpy(np.int64).view(np.uint64)
-    lead = np.sort(lead)
-    return np.unique(lead[np.arange(1, buckets) * len(lead) // buckets]) if len(lead) else np.zeros(0, np.uint64)
+    found = some.mapInArrow(run, "lead long, next long").limit(4 * SAMPLE_ANCHORS).toPandas()
+    words = np.sort(two_words(*(found[c].to_numpy(np.int64).view(np.uint64) for c in ("lead", "next"))))
+    return np.unique(words[np.arange(1, buckets) * len(words) // buckets]) if len(words) else np.zeros(0, "S16")
 
 
-def covered_segments(rows: DataFrame, cuts: np.ndarray, versions: bool) -> DataFrame:
+def covered_segments(rows: DataFrame, cuts: np.ndarray, buckets: int, versions: bool) -> DataFrame:
     """SPANS of kind 0 (covered bytes) and kind 1 (window starts to be compared one by one)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,21 +287,22 @@ def covered_segments(rows: DataFrame, cuts: np.ndarray, versions: bool) -> DataF
         held: list[list[np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            lead, gram, seg, row, start, n, left, right = (np.concatenate(c) for c in zip(*held))
+            lead, following, seg, row, start, n, left, right = (np.concatenate(c) for c in zip(*held))
             key = np.array([i for i, _ in ids], np.int64)[row.astype(np.int64)]
-            order = multikey_order([gram, seg, key])
+            order = multikey_order([lead, following, seg, key])
             least = np.empty(len(order), np.int64)
-            least[order] = group_least(changes(gram[order], seg[order]), key[order])
-            keep = np.flatnonzero(key == least)
+            least[order] = group_least(changes(lead[order], following[order], seg[order]), key[order])
+            keep = order[key[order] == least[order]]  # in suffix order, which packs well
             out = []
             if len(keep) < len(order):  # a smaller id of this task has the segment: covered, and told in passing
                 gone = np.flatnonzero(key > least)
                 table = np.array(ids, np.int64)[row[gone].astype(np.int64)]
                 spans = np.stack([table[:, 0], table[:, 1], start[gone].astype(np.int64), (n[gone] + _U(WINDOW - 1)).astype(np.int64)])
                 out.append((-1 - int(key[gone[0]]) % 997, b"", spans.tobytes()))
-            bucket = np.searchsorted(cuts, lead[keep], side="right")
+            edges = np.searchsorted(two_words(lead[keep], following[keep]), cuts)
+            bucket = np.repeat(np.arange(len(cuts) + 1), np.diff(np.r_[0, edges, len(keep)]))
             row = row[keep]
-            columns = [(row if c is None else c[keep], w) for c, w in zip((gram, seg, None, start, n, left, right), ANCHOR_WIDTHS)]
+            columns = [(row if c is None else c[keep], w) for c, w in zip((lead, following, seg, None, start, n, left, right), ANCHOR_WIDTHS)]
             out += _deal(bucket, ids, row, columns)
             held.clear()
             yield _dealt(out)
@@ -310,7 +318,7 @@ def covered_segments(rows: DataFrame, cuts: np.ndarray, versions: bool) -> DataF
                 part = np.searchsorted(ends, s.start, side="right")
                 begin = np.r_[0, ends[:-1]]
                 start = s.start - begin[part] + np.array(offset, np.int64)[part]
-                held.append([s.lead, s.gram, s.hash, np.array(row, np.uint64)[part], start.astype(np.uint64), s.n.astype(np.uint64), s.left, s.right])
+                held.append([s.lead, s.next, s.hash, np.array(row, np.uint64)[part], start.astype(np.uint64), s.n.astype(np.uint64), s.left, s.right])
                 if sum(len(h[0]) for h in held) >= FLUSH:
                     yield from flush()
         if held:
@@ -330,32 +338,32 @@ def covered_segments(rows: DataFrame, cuts: np.ndarray, versions: bool) -> DataF
             yield from _spans([(s[0], s[1], 0, s[2], s[3]) for s in spans])
 
         passing: list[bytes] = []
-        for id_, v, (gram, seg, _, start, n, left, right) in _gathered(dealt(), ANCHOR_WIDTHS):
+        for id_, v, (lead, following, seg, _, start, n, left, right) in _gathered(dealt(), ANCHOR_WIDTHS):
             yield from told()
-            order = multikey_order([gram, seg, id_])
-            gram, seg, left, right, id_, v, start, n = (c[order] for c in (gram, seg, left, right, id_, v, start.astype(np.int64), n.astype(np.int64)))
-            least = group_least(changes(gram, seg), id_)
+            order = multikey_order([lead, following, seg, id_])
+            lead, following, seg, left, right, id_, v, start, n = (c[order] for c in (lead, following, seg, left, right, id_, v, start.astype(np.int64), n.astype(np.int64)))
+            least = group_least(changes(lead, following, seg), id_)
             gone, kept = id_ > least, np.flatnonzero(id_ == least)
             # anchors with several segments and several ids; of these, segments that agree with another on a side
-            new = changes(gram)
+            new = changes(lead, following)
+            anchor = np.cumsum(new)
             several = group_least(new, least) != -group_least(new, -least)
             kept = kept[several[kept]]
             near = np.zeros(len(kept), bool)
             for side in (left, right):
-                o = multikey_order([gram[kept], side[kept], seg[kept]])
+                o = multikey_order([anchor[kept], side[kept], seg[kept]])
                 rows = kept[o]
-                new = changes(gram[rows], side[rows])
+                new = changes(anchor[rows], side[rows])
                 lo, hi = group_least(new, seg[rows].astype(np.int64)), -group_least(new, -seg[rows].astype(np.int64))
                 near[o] |= (lo != hi) & (side[rows] > 0)
             kept = kept[near]
             yield from _spans([(id_[gone], v[gone], 0, start[gone], n[gone] + WINDOW - 1), (id_[kept], v[kept], 1, start[kept], n[kept])])
         yield from told()
 
-    p = shuffle_partitions(rows.sparkSession)
-    return rows.mapInArrow(deal, DEALT).repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, SPANS)
+    return rows.mapInArrow(deal, DEALT).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, SPANS)
 
 
-def shared_suffixes(texts: DataFrame, wanted: DataFrame, cuts: np.ndarray, versions: bool) -> DataFrame:
+def shared_suffixes(texts: DataFrame, wanted: DataFrame, cuts: np.ndarray, buckets: int, versions: bool) -> DataFrame:
     """SPANS (kind 0) of the wanted windows that a smaller id has too, by a suffix array of these windows."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,9 +371,9 @@ def shared_suffixes(texts: DataFrame, wanted: DataFrame, cuts: np.ndarray, versi
         held: list[list[np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            *words, row, start = (np.concatenate(c) for c in zip(*held))
-            columns = list(zip((*words, row, start), SUFFIX_WIDTHS))
-            out = list(_deal(np.searchsorted(cuts, words[0], side="right"), ids, row, columns))
+            lead, following, tail, row, start = (np.concatenate(c) for c in zip(*held))
+            columns = list(zip((lead, tail, row, start), SUFFIX_WIDTHS))
+            out = list(_deal(np.searchsorted(cuts, two_words(lead, following), side="right"), ids, row, columns))
             ids.clear(), held.clear()
             yield _dealt(out)
 
@@ -388,7 +396,7 @@ def shared_suffixes(texts: DataFrame, wanted: DataFrame, cuts: np.ndarray, versi
                     tail = rest[0]
                     for w in rest[1:]:
                         tail = _mixed(tail) * _U(0xD6E8FEB86659FD93) + w
-                    held.append([lead, _mixed(tail), np.full(len(at), len(ids) - 1, np.uint64), at.astype(np.uint64)])
+                    held.append([lead, rest[0], _mixed(tail), np.full(len(at), len(ids) - 1, np.uint64), at.astype(np.uint64)])
                 if sum(len(h[0]) for h in held) >= FLUSH // 2:
                     yield from flush()
         if held:
@@ -402,9 +410,8 @@ def shared_suffixes(texts: DataFrame, wanted: DataFrame, cuts: np.ndarray, versi
             yield from _spans([(id_[gone], v[gone], 0, start[gone], np.full(int(gone.sum()), WINDOW))])
 
     per_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("v", "start", "size")).alias("spans"))
-    joined = texts.join(per_doc.hint("shuffle_hash"), "id").select("id", "body", "spans")
-    p = shuffle_partitions(texts.sparkSession)
-    return joined.mapInArrow(deal, DEALT).repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, SPANS)
+    joined = texts.join(per_doc, "id").select("id", "body", "spans")
+    return joined.mapInArrow(deal, DEALT).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, SPANS)
 
 
 def merged(start: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
@@ -430,9 +437,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(2 * shuffle_partitions(spark), size * 2 // (SPAN + 1) // BUCKET)
     versions = not named.groupBy("id").count().where("count > 1").isEmpty()
     cuts = splitters(named, total, buckets)
-    spans = stored(covered_segments(named, cuts, versions), "segments")
-    texts = named.repartition(shuffle_partitions(spark), "id")
-    marks = shared_suffixes(texts, spans.where("kind = 1"), cuts, versions)
+    spans = stored(covered_segments(named, cuts, buckets, versions), "segments")
+    texts = named.repartition(max(shuffle_partitions(spark), size // TEXT_BYTES), "id")
+    marks = shared_suffixes(texts, spans.where("kind = 1"), cuts, buckets, versions)
     gone = spans.where("kind = 0").unionByName(marks).groupBy("id").agg(F.collect_list(F.struct("v", "start", "size")).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,7 +457,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols = list(zip(*out)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    done = texts.join(gone.hint("shuffle_hash"), "id", "left").select("id", "body", "spans")
+    done = texts.join(gone, "id", "left").select("id", "body", "spans")
     nameless = rows.where("id IS NULL").withColumn("spans", F.lit(None).cast("array<struct<v:bigint,start:bigint,size:int>>"))
     out = done.unionByName(nameless).mapInArrow(finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))

@@ -61,8 +61,10 @@ def redistribute(
     files = with_paths(source.files, source_dir)
     plan = copy_plan(source, headers(spark, files).cache(), target)
     paths = files.select(F.col("file_idx").alias("src_file"), F.col("path").alias("src"))
-    rows = file_headers(target, metadata).join(plan, F.col("file_idx") == F.col("tgt_file"), "left").join(paths, "src_file", "left")
-    rows = rows.select("file_idx", "filename", "header", F.coalesce("tgt_pos", F.lit(0)).cast("bigint").alias("seq"), "src", F.col("src_start"), F.col("src_end").alias("src_stop"))
+    head = file_headers(target, metadata).select("file_idx", "filename", "header", F.lit(-1).cast("bigint").alias("seq"))  # a row a file
+    ranges = plan.join(paths, "src_file").join(target.files.select(F.col("file_idx").alias("tgt_file"), "filename"), "tgt_file")
+    ranges = ranges.select(F.col("tgt_file").alias("file_idx"), "filename", F.col("tgt_pos").alias("seq"), "src", "src_start", F.col("src_end").alias("src_stop"))
+    rows = head.unionByName(ranges, allowMissingColumns=True).select("file_idx", "filename", "header", "seq", "src", "src_start", "src_stop")
     fs, folder = open_fs(target_dir)
     fs.create_dir(folder, recursive=True)
     spark.dataSource.register(TensorFiles)

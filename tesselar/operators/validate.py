@@ -38,11 +38,46 @@ def out_of_bounds(chunks: DataFrame) -> DataFrame:
     return chunks.select("name", "chunk_idx", F.explode(bad).alias("dim"))
 
 
+def untiled(chunks: DataFrame) -> DataFrame:
+    """Names of tensors that their chunks, in bounds, don't cover exactly once: (name).
+
+    Boxes tile a box if and only if their corners, signed by parity, add up to its corners.  So this is one grouping of
+    2^rank rows a chunk, however many chunks a tensor has.
+    """
+    signs = F.explode(F.sequence(F.lit(0), F.expr("int(pow(2, size(shape)))") - 1)).alias("corner")
+
+    def corners(boxes: DataFrame, weight: int) -> DataFrame:
+        up = lambda i: F.pmod(F.floor(F.col("corner") / F.pow(F.lit(2), i)), F.lit(2)).cast("bigint")
+        at = F.when(F.size("shape") > 0, F.transform("shape", lambda s, i: F.get("offsets", i) + s * up(i))).otherwise(F.array().cast("array<bigint>"))
+        parity = F.aggregate(F.transform("shape", lambda s, i: up(i)), F.lit(0).cast("bigint"), lambda x, y: x + y)
+        return boxes.select("name", "offsets", "shape", signs).select("name", at.alias("at"), (F.lit(weight) * (1 - 2 * (parity % 2))).alias("sign"))
+
+    filled = chunks.where(F.forall("shape", lambda s: s > 0))
+    zeros = F.transform("tensor_shape", lambda _: F.lit(0).cast("bigint"))
+    whole = chunks.where(F.forall("tensor_shape", lambda s: s > 0)).select("name", zeros.alias("offsets"), F.col("tensor_shape").alias("shape")).distinct()
+    sums = corners(filled, 1).unionByName(corners(whole, -1)).groupBy("name", "at").agg(F.sum("sign").alias("sum"))
+    return sums.where("sum != 0").select("name").distinct()
+
+
 def overlapping_pairs(chunks: DataFrame) -> DataFrame:
-    """(name, a, b) of chunks of a tensor that share a cell, a < b."""
-    a = chunks.select("name", F.col("chunk_idx").alias("a"), F.col("offsets").alias("oa"), F.col("shape").alias("sa"))
-    b = chunks.select("name", F.col("chunk_idx").alias("b"), F.col("offsets").alias("ob"), F.col("shape").alias("sb"))
-    return a.join(b, "name").where((F.col("a") < F.col("b")) & overlap(F.col("oa"), F.col("sa"), F.col("ob"), F.col("sb"))).select("name", "a", "b")
+    """(name, a, b) of chunks of a tensor that share a cell, a < b.
+
+    A tensor's finest dimension is cut into bins of its chunks' mean extent.  A pair meets in the bin in which the later
+    of its two chunks starts there, so chunks are compared with neighbours only, and each pair once.
+    """
+    sides = chunks.where(F.size("shape") > 0).select("name", "tensor_shape", F.posexplode("shape").alias("dim", "extent"))
+    mean = sides.groupBy("name", "dim", F.get("tensor_shape", F.col("dim")).alias("whole")).agg(F.avg("extent").alias("mean"))
+    finest = mean.groupBy("name").agg(F.min(F.struct(F.col("mean") / F.greatest("whole", F.lit(1)), "dim", "mean")).alias("f"))
+    finest = finest.select("name", "f.dim", F.greatest(F.lit(1.0), "f.mean").alias("width"))
+    rows = chunks.where(F.forall("shape", lambda s: s > 0)).join(finest, "name", "left")  # rank 0: one bin
+    start, extent = (F.coalesce(F.get(c, F.col("dim")), F.lit(0)) for c in ("offsets", "shape"))
+    bin_ = lambda x: F.floor(x / F.coalesce("width", F.lit(1.0)))
+    rows = rows.select("name", "chunk_idx", "offsets", "shape", start.alias("start"), bin_(start).alias("first"), bin_(start + F.greatest(extent, F.lit(1)) - 1).alias("last"))
+    a = rows.select("name", F.col("first").alias("bin"), F.col("chunk_idx").alias("a"), F.col("start").alias("start_a"), F.col("offsets").alias("oa"), F.col("shape").alias("sa"))
+    b = rows.select("name", F.explode(F.sequence("first", "last")).alias("bin"), F.col("chunk_idx").alias("b"), F.col("start").alias("start_b"), F.col("offsets").alias("ob"), F.col("shape").alias("sb"))
+    later = F.struct("start_a", "a") > F.struct(F.col("start_b").alias("start_a"), F.col("b").alias("a"))
+    pairs = a.join(b, ["name", "bin"]).where(later & overlap(F.col("oa"), F.col("sa"), F.col("ob"), F.col("sb")))
+    return pairs.select("name", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def uncovered_volume(chunks: DataFrame) -> DataFrame:
@@ -52,25 +87,25 @@ def uncovered_volume(chunks: DataFrame) -> DataFrame:
 
 
 def grid_gaps(chunks: DataFrame) -> DataFrame:
-    """Uncovered grid cells (name, dim-wise lo and hi arrays) of tensors of one rank 1 or 2; explains what
-    uncovered_volume only counts.  Cells lie between neighbouring boundaries of the chunks in each dimension."""
+    """Uncovered grid cells (name, dim-wise lo and hi arrays) of tensors of any ranks; explains what uncovered_volume only
+    counts.  Cells lie between neighbouring boundaries of the tensor's chunks in each dimension."""
     from pyspark.sql import Window as W
 
-    def intervals(d: int) -> DataFrame:
-        points = chunks.select("name", F.explode(F.array(F.lit(0).cast("bigint"), F.get("tensor_shape", F.lit(d)), F.get("offsets", F.lit(d)), F.get("offsets", F.lit(d)) + F.get("shape", F.lit(d)))).alias("lo")).distinct()
-        return points.withColumn("hi", F.lead("lo").over(W.partitionBy("name").orderBy("lo"))).where("hi IS NOT NULL")
-
+    chunks = chunks.where(F.forall("tensor_shape", lambda s: s > 0))
     rank = chunks.select(F.max(F.size("tensor_shape"))).first()[0] or 0
-    cells = None
-    for d in range(rank):
-        side = intervals(d).select("name", F.array("lo").alias(f"lo{d}"), F.array("hi").alias(f"hi{d}"))
-        cells = side if cells is None else cells.join(side, "name")
-    if cells is None:
-        return chunks.limit(0).select("name", F.col("offsets").alias("lo"), F.col("offsets").alias("hi"))
-    cells = cells.select("name", F.concat(*[F.col(f"lo{d}") for d in range(rank)]).alias("lo"), F.concat(*[F.col(f"hi{d}") for d in range(rank)]).alias("hi"))
+    zero = F.lit(0).cast("bigint")
+    dims = chunks.select("name", F.posexplode(F.arrays_zip("tensor_shape", "offsets", "shape")).alias("dim", "x"))
+    points = dims.select("name", "dim", F.explode(F.array(zero, "x.tensor_shape", "x.offsets", F.col("x.offsets") + F.col("x.shape"))).alias("lo")).distinct()
+    sides = points.withColumn("hi", F.lead("lo").over(W.partitionBy("name", "dim").orderBy("lo"))).where("hi IS NOT NULL")
+    none = F.array().cast("array<bigint>")
+    cells = chunks.select("name", F.size("tensor_shape").alias("rank"), none.alias("lo"), none.alias("hi")).distinct()
+    for d in range(rank):  # tensors of lower rank are complete and keep their cells
+        side = sides.where(F.col("dim") == d).select("name", F.array("lo").alias("l"), F.array("hi").alias("h"))
+        longer = cells.where(F.col("rank") > d).join(side, "name").select("name", "rank", F.concat("lo", "l").alias("lo"), F.concat("hi", "h").alias("hi"))
+        cells = longer.unionByName(cells.where(F.col("rank") <= d))
     box = chunks.select(F.col("name").alias("n2"), "offsets", ends(F.col("offsets"), F.col("shape")).alias("stop"))
     inside = F.forall(F.zip_with("lo", "offsets", lambda c, o: c >= o), lambda x: x) & F.forall(F.zip_with("hi", "stop", lambda c, s: c <= s), lambda x: x)
-    return cells.join(box, (F.col("name") == F.col("n2")) & inside, "left_anti")
+    return cells.drop("rank").join(box, (F.col("name") == F.col("n2")) & inside, "left_anti")
 
 
 def sweep(chunks: DataFrame) -> DataFrame:
@@ -94,6 +129,7 @@ def validate(topology: Topology) -> Topology:
     n_files = topology.files.count()
     bare = topology.tensors.join(topology.chunks, "name", "left_anti")
     boxes = chunks.where("kind = 'Distributed'")
+    boxes = boxes.join(untiled(boxes), "name", "left_semi")  # only these are worth a closer look
     rules = [
         ("InvalidChunkCount", chunk_counts(chunks, topology.world_size).unionByName(bare.select("name"), allowMissingColumns=True)),
         ("InvalidFilenameIndex", file_indices(chunks, n_files)),

@@ -7,6 +7,7 @@ import json
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tesselar.operators.validate import validate
 from tesselar.plans.model import MANIFEST, Topology, TopologyError
@@ -36,9 +37,9 @@ def shared_topology(found: DataFrame, files: DataFrame) -> Topology:
 
 
 def weight_map_files(entries: DataFrame) -> DataFrame:
-    """entries(name, filename) -> (file_idx, filename), unique and sorted."""
-    files = entries.select("filename").distinct().orderBy("filename").toPandas()["filename"].tolist()  # files, not tensors
-    return entries.sparkSession.createDataFrame([(i, f) for i, f in enumerate(files)], "file_idx bigint, filename string")
+    """entries(name, filename) -> (file_idx, filename), unique and numbered in their order."""
+    number = F.row_number().over(W.orderBy("filename")).cast("bigint") - 1  # a row per file, not per tensor
+    return entries.select("filename").distinct().select(number.alias("file_idx"), "filename")
 
 
 def load_topology(spark: SparkSession, folder: str, lenient: bool = False) -> Topology:
@@ -55,7 +56,7 @@ def load_topology(spark: SparkSession, folder: str, lenient: bool = False) -> To
         entries = index.select(F.explode(F.from_json("value", "weight_map map<string,string>")["weight_map"]).alias("name", "filename"))
         files = weight_map_files(entries)
         head = headers(spark, with_paths(files, folder)).select("file_idx", "name", "dtype", "shape")
-        listed = entries.join(F.broadcast(files), "filename").select("name", "file_idx")  # one row per file
+        listed = entries.join(files, "filename").select("name", "file_idx")
         missing = listed.join(head, ["name", "file_idx"], "left_anti").orderBy("name").first()
         if missing is not None and not lenient:
             raise TopologyError("TensorNotFound", f"{missing['name']} isn't in its file")

@@ -52,6 +52,7 @@ def shard_files(sizes: DataFrame, max_shard_bytes: int = MAX_SHARD_BYTES) -> Dat
 
 
 def file_name(rank: Column, shard: Column) -> Column:
+    # Fixed value: the format of the names.
     return F.format_string("model_rank_%d_chunk_%d.safetensors", rank, shard)
 
 

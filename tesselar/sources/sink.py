@@ -1,8 +1,9 @@
 """Writing tensor files as a Spark data source: a task writes whole files in order, the driver renames them.
 
-Rows are (file_idx, filename, header, seq, src, src_start, src_stop), grouped by file and sorted by seq; a row's
-bytes are read from its source range and appended.  Files are written under a temporary name per attempt and
-renamed on commit, the manifest last, so a retried or speculative task never spoils a target.
+Rows are (file_idx, filename, header, seq, src, src_start, src_stop), grouped by file and sorted by seq: first one
+with the header, then those whose bytes are read from a source range and appended.  Files are written under a temporary
+name per attempt in a folder of the job and renamed on commit, the manifest last, so a retried or speculative task
+never spoils a target; the folder goes at the end, with what failed attempts left in it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from tesselar.sources.headers import open_fs
@@ -27,25 +29,27 @@ class Written(WriterCommitMessage):
 
 class TensorWriter(DataSourceWriter):
     def __init__(self, folder: str, manifest: str) -> None:
-        self.folder, self.manifest = folder.rstrip("/"), manifest
+        self.folder, self.manifest, self.job = folder.rstrip("/"), manifest, f".writing-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator) -> Written:
         done: list[tuple[str, str]] = []
         out = current = None
         sources: dict = {}
         fs, folder = open_fs(self.folder)
+        fs.create_dir(f"{folder}/{self.job}", recursive=True)
         for row in iterator:
-            if row.filename != current:
+            if row.header is not None:
                 if out:
                     out.close()
                 current = row.filename
-                temporary = f"{folder}/.{current}.{uuid.uuid4().hex}"
+                temporary = f"{folder}/{self.job}/{current}.{uuid.uuid4().hex}"
                 out = fs.open_output_stream(temporary)
                 header = row.header.encode()
                 out.write(len(header).to_bytes(8, "little") + header)
                 done.append((temporary, f"{folder}/{current}"))
-            if row.src is None:  # a file without tensors
                 continue
+            if row.filename != current:
+                raise ValueError(f"rows of {row.filename} come before its header")
             if row.src not in sources:
                 sfs, path = open_fs(row.src)
                 sources[row.src] = sfs.open_input_file(path)
@@ -64,12 +68,15 @@ class TensorWriter(DataSourceWriter):
                 fs.move(temporary, final)
         with fs.open_output_stream(f"{folder}/topology.json") as f:
             f.write(self.manifest.encode())
+        self._clean()
 
     def abort(self, messages: list) -> None:
-        fs, _ = open_fs(self.folder)
-        for m in messages:
-            for temporary, _ in m.files if m else ():
-                fs.delete_file(temporary)
+        self._clean()
+
+    def _clean(self) -> None:
+        fs, folder = open_fs(self.folder)
+        if fs.get_file_info(f"{folder}/{self.job}").type == pafs.FileType.Directory:
+            fs.delete_dir(f"{folder}/{self.job}")
 
 
 class TensorFiles(DataSource):

@@ -74,11 +74,11 @@ def reshard_rows_to_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked(moved(elements(spark, sf_dir), row_shards(spark, n, 4), column_shards(spark, n, 2)), "tgt")
 
 
-@query(sql_checked("2 * (r // (n // 2)) + c // 32", "(r % (n // 2)) * 32 + c % 32"))
+@query(sql_checked("2 * (r >= n // 2)::INT + c // 32", "(r - CASE WHEN r >= n // 2 THEN n // 2 ELSE 0 END) * 32 + c % 32"))
 def reshard_quadrants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = n_rows(spark, sf_dir)  # even in the tables
+    n = n_rows(spark, sf_dir)
     h = n // 2
-    quadrants = boxes(spark, [([h * (i // 2), 32 * (i % 2)], [h, 32], i) for i in range(4)])
+    quadrants = boxes(spark, [([h * (i // 2), 32 * (i % 2)], [n - h if i > 1 else h, 32], i) for i in range(4)])
     return checked(moved(elements(spark, sf_dir), row_shards(spark, n, 4), quadrants), "tgt")
 
 
@@ -89,12 +89,25 @@ def fuse_to_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked(moved(elements(spark, sf_dir), column_shards(spark, n, 2), whole).withColumn("tgt", F.floor(F.col("place") / 4096)), "tgt")
 
 
-@query(sql_checked("r // (n // 4)", "(r % (n // 4)) * 64 + c"))
+@query(sql_checked("((r + 1) * 4 - 1) // n", "(r - n * (((r + 1) * 4 - 1) // n) // 4) * 64 + c"))
 def shard_from_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = n_rows(spark, sf_dir)  # a multiple of four in the tables
+    n = n_rows(spark, sf_dir)
     return checked(moved(elements(spark, sf_dir), boxes(spark, [([0, 0], [n, WIDTH], 0)]), row_shards(spark, n, 4)), "tgt")
 
 
+@query(
+    "WITH n AS (SELECT count(*)::BIGINT AS n FROM embeddings), r AS (SELECT vec_id AS r, n, ((vec_id + 1) * 4 - 1) // n AS src, unnest([0, 1]) AS tgt FROM embeddings, n)"
+    ", x AS (SELECT src, tgt, 1024 + ((r - n * src // 4) * 64 + tgt * 32) * 4 AS start, r * 32 * 4 AS place FROM r)"
+    " SELECT src::BIGINT AS src, tgt::BIGINT AS tgt, count(*)::BIGINT AS runs, (count(*) * 128)::BIGINT AS n_bytes, min(start)::BIGINT AS first, max(start)::BIGINT AS last, max(place)::BIGINT AS last_place FROM x GROUP BY 1, 2"
+)
+def plan_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte ranges that take T1 from four row shards to two column shards (files with headers of 1024 bytes)."""
+    n = n_rows(spark, sf_dir)
+    runs = byte_runs(copy_runs(row_shards(spark, n, 4), column_shards(spark, n, 2)), F.lit(4), F.lit(1024), F.lit(0))
+    per = runs.groupBy(F.col("src_file").alias("src"), F.col("tgt_file").alias("tgt"))
+    return per.agg(F.count("*").alias("runs"), F.sum(F.col("src_end") - F.col("src_start")).alias("n_bytes"), F.min("src_start").alias("first"), F.max("src_start").alias("last"), F.max("tgt_off").alias("last_place"))
+
+
 @query(sql_checked("0", "r", "c = 7"))
 def narrow_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = n_rows(spark, sf_dir)
@@ -223,10 +236,23 @@ def header_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.header_offsets(in_files(catalog(spark, sf_dir))).select("file_idx", "name", "begin", "end", layout.padded(F.col("begin")).cast("bigint").alias("aligned"))
 
 
-@query(f"WITH {LAID} SELECT count(*)::BIGINT AS files, sum(stop + 8 + 1000)::BIGINT AS total FROM (SELECT file_idx, max(begin + n_bytes) AS stop FROM laid GROUP BY 1)")
+@query(
+    f"""WITH {LAID}, x AS (SELECT file_idx, max(begin + n_bytes) AS stop, sum(len(name) + 2 + 1 + len('{{"dtype":"' || dtype || '","shape":[' || s0 || ',' || s1 || '],"data_offsets":[' || begin || ',' || (begin + n_bytes) || ']}}')) + count(*) - 1 + 2 AS head
+    FROM (SELECT * FROM laid JOIN t2 USING (name, n_bytes)) GROUP BY 1)
+    SELECT count(*)::BIGINT AS files, sum(stop + 8 + head + (8 - head % 8) % 8)::BIGINT AS total FROM x"""
+)
 def estimated_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per_file = layout.header_offsets(in_files(catalog(spark, sf_dir))).groupBy("file_idx").agg((F.max("end") + 8 + 1000).alias("stop"))
-    return per_file.agg(F.count("*").alias("files"), F.sum("stop").alias("total"))
+    """Bytes of the files of T2 with the headers that they get."""
+    from tesselar.operators.reshard import file_headers
+    from tesselar.plans.model import Topology
+
+    placed = in_files(catalog(spark, sf_dir))
+    chunks = full_boxes(placed).drop("file_idx").join(placed.select("name", "file_idx"), "name")
+    files = spark.range(WORLD).select(F.col("id").alias("file_idx"), F.format_string("f%d", "id").alias("filename"))
+    head = file_headers(Topology(placed.select("name", F.lit("Shared").alias("kind"), "shape", "dtype"), chunks, files, WORLD))
+    data = layout.header_offsets(placed).groupBy("file_idx").agg(F.max("end").alias("stop"))
+    sizes = head.join(data, "file_idx").select((F.col("stop") + 8 + F.octet_length("header")).alias("n_bytes"))
+    return sizes.agg(F.count("*").alias("files"), F.sum("n_bytes").alias("total"))
 
 
 RANKED = f"{SQL_T2}, r AS (SELECT p_partkey % 4 AS rank, name, n_bytes, (sum(n_bytes) OVER (PARTITION BY p_partkey % 4 ORDER BY name) - n_bytes)::BIGINT AS before FROM t2), s AS (SELECT *, (dense_rank() OVER (PARTITION BY rank ORDER BY before // 65536) - 1) AS shard FROM r), f AS (SELECT rank, max(shard) + 1 AS n_files FROM s GROUP BY 1), b AS (SELECT rank, n_files, coalesce(sum(n_files) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM f)"
@@ -321,6 +347,42 @@ def sweep_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.sweep(thinned(order_chunks(spark, sf_dir)))
 
 
+def mixed_ranks(chunks: DataFrame) -> DataFrame:
+    """T3 with a second dimension of extent 2 for odd orders, of which chunks of odd lines cover one half only."""
+    odd = F.col("order") % 2 == 1
+    more = lambda c, x: F.when(odd, F.concat(c, F.array(x.cast("bigint")))).otherwise(F.col(c))
+    half = F.when(F.col("line") % 2 == 1, 1).otherwise(2)
+    return chunks.withColumns({"offsets": more("offsets", F.lit(0)), "shape": more("shape", half), "tensor_shape": more("tensor_shape", F.lit(2))})
+
+
+@query(
+    f"{'WITH ' + THIN}, h AS (SELECT *, CASE WHEN o % 2 = 0 THEN NULL WHEN l % 2 = 1 THEN 1 ELSE 2 END AS half FROM k)"
+    ", p AS (SELECT o, off AS x FROM k UNION SELECT o, off + size FROM k UNION SELECT o, 0 FROM k UNION SELECT o, total FROM k), c AS (SELECT o, x AS lo, lead(x) OVER (PARTITION BY o ORDER BY x) AS hi FROM p)"
+    ", q AS (SELECT o, half AS y FROM h WHERE o % 2 = 1 UNION SELECT o, 0 FROM k WHERE o % 2 = 1 UNION SELECT o, 2 FROM k WHERE o % 2 = 1), d AS (SELECT o, y AS lo1, lead(y) OVER (PARTITION BY o ORDER BY y) AS hi1 FROM q)"
+    ", cells AS (SELECT c.o, lo, hi, lo1, hi1 FROM c LEFT JOIN d ON c.o = d.o WHERE hi IS NOT NULL AND (d.o IS NULL OR hi1 IS NOT NULL))"
+    " SELECT o::VARCHAR AS name, lo::BIGINT AS lo0, hi::BIGINT AS hi0, coalesce(lo1, -1)::BIGINT AS lo1, coalesce(hi1, -1)::BIGINT AS hi1 FROM cells WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.o = cells.o AND h.off <= lo AND h.off + h.size >= hi AND (hi1 IS NULL OR h.half >= hi1))"
+)
+def mixed_rank_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uncovered cells of tensors of ranks one and two together; -1 for the dimension that a tensor lacks."""
+    gaps = v.grid_gaps(mixed_ranks(thinned(order_chunks(spark, sf_dir))))
+    return gaps.select("name", get("lo", 0).alias("lo0"), get("hi", 0).alias("hi0"), *(F.coalesce(get(c, 1), F.lit(-1).cast("bigint")).alias(f"{c}1") for c in ("lo", "hi")))
+
+
+@query(f"WITH {SQL_T3} SELECT o::VARCHAR AS name FROM t3 GROUP BY o HAVING bool_or((o + l) % 7 = 0 AND off > 0)")
+def untiled_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tensors whose chunks, moved here and there, don't cover them exactly once."""
+    return v.untiled(shifted(order_chunks(spark, sf_dir)))
+
+
+@query("WITH k AS (SELECT p_partkey::BIGINT AS p FROM part) SELECT 'big' AS name, (k.p - 1)::BIGINT AS a, k.p AS b FROM k JOIN k AS before ON before.p = k.p - 1 WHERE k.p % 97 = 0")
+def big_tensor_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tensor with a chunk per part, of which some begin in the chunk before."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("p"))
+    zero, start = F.lit(0).cast("bigint"), F.col("p") * 8 - F.when(F.col("p") % 97 == 0, 1).otherwise(0)
+    chunks = p.select(F.lit("big").alias("name"), F.col("p").alias("chunk_idx"), F.array(start, zero).alias("offsets"), F.array(F.lit(8), F.lit(4)).cast("array<bigint>").alias("shape"), F.array(F.lit(1 << 40), F.lit(4).cast("bigint")).alias("tensor_shape"))
+    return v.overlapping_pairs(chunks)
+
+
 @query(f"WITH {POINTS} SELECT o::VARCHAR AS name, count(*)::BIGINT AS n_points, max(x)::BIGINT AS last FROM p GROUP BY o")
 def split_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = thinned(order_chunks(spark, sf_dir))
@@ -379,65 +441,21 @@ def _checkpoint_folder(spark: SparkSession) -> str:
     import tempfile
 
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{shared or 'file://' + tempfile.gettempdir()}/tesselar-files/{uuid.uuid4().hex}"
 
 
-def _write_rows(spark: SparkSession, sf_dir: str, folder: str) -> None:
-    """T1's first 64 rows as a single-file checkpoint, a small input for the file-based queries."""
-    from tesselar.sources.headers import open_fs
-
-    rows = table(spark, sf_dir, "embeddings").where("vec_id < 64").orderBy("vec_id").select("embedding").collect()
-    a = np.array([r[0] for r in rows], "<f4")
-    header = json.dumps({"__metadata__": {"table": "embeddings"}, "emb": {"dtype": "F32", "shape": list(a.shape), "data_offsets": [0, a.nbytes]}}).encode()
-    fs, path = open_fs(folder)
-    fs.create_dir(path, recursive=True)
-    with fs.open_output_stream(path + "/model.safetensors") as f:
-        f.write(len(header).to_bytes(8, "little") + header + a.tobytes())
-
-
-@query("SELECT 0::BIGINT AS file_idx, 'emb' AS name, 'F32' AS dtype, 64::BIGINT AS s0, 64::BIGINT AS s1, 0::BIGINT AS begin, 16384::BIGINT AS \"end\"")
-def header_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tesselar.sources.headers import headers
-
-    folder = _checkpoint_folder(spark)
-    _write_rows(spark, sf_dir, folder)
-    files = spark.createDataFrame([(0, folder + "/model.safetensors")], "file_idx bigint, path string")
-    return headers(spark, files).select("file_idx", "name", "dtype", get("shape", 0).alias("s0"), get("shape", 1).alias("s1"), "begin", "end")
-
-
-@query(f"WITH {SQL_E} SELECT r::BIGINT AS row, c::BIGINT AS col, u FROM m WHERE r < 64")
-def write_read_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single file -> four ranks -> fused file -> elements."""
-    from tesselar.operators.reshard import fuse, reshard
-    from tesselar.operators.slices import Loader, Plan
-    from tesselar.sources.headers import read_ranges
-
-    folder = _checkpoint_folder(spark)
-    _write_rows(spark, sf_dir, folder + "/one")
-    reshard(spark, folder + "/one", folder + "/four", 4)
-    fuse(spark, folder + "/four", folder + "/back")
-    loader, plan = Loader(spark, folder + "/back"), Plan()
-    plan.add_slice(loader.get_slice("emb")[:])
-
-    def decoded(batches):  # noqa: ANN001, ANN202
-        import pyarrow as pa
-
-        for b in batches:
-            for off, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                values = np.frombuffer(raw, "<f4")
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)) + off // 4, pa.int64()), pa.array(values, pa.float32())], ["at", "v"])
-
-    cells = read_ranges(plan.ranges(loader)).select("tgt_off", "payload").mapInArrow(decoded, "at long, v float")
-    return cells.select(F.floor(F.col("at") / WIDTH).alias("row"), (F.col("at") % WIDTH).alias("col"), micro(F.col("v")).alias("u"))
-
-
 #: Rows of a source file of the whole-table checkpoint (16 MB); tables of few rows make WORLD files.
 FILE_ROWS = 65536
 SQL_K = "n AS (SELECT count(*)::BIGINT AS n FROM embeddings), k AS (SELECT n, greatest(4, (n + 65535) // 65536)::BIGINT AS k FROM n)"
 
 
-def _write_table(spark: SparkSession, sf_dir: str, folder: str) -> tuple[int, int]:
-    """All of T1 as a checkpoint of k files , each written by one task with a tensor up.I of the rows from n * I // k; (n, k)."""
+def _write_table(spark: SparkSession, sf_dir: str, folder: str, weight_map: bool = False) -> tuple[int, int]:
+    """All of T1 as a checkpoint of k files, each written by one task with a tensor up.I of the rows from n * I // k; (n, k).
+
+    Beside the files stands a manifest or, with weight_map, an index of names and files.
+    """
     from tesselar.plans.catalog import manifest_json
     from tesselar.plans.model import Topology
     from tesselar.sources.headers import open_fs
@@ -483,6 +501,10 @@ def _write_table(spark: SparkSession, sf_dir: str, folder: str) -> tuple[int, in
     idx = F.expr(f"((row + 1) * {k} - 1) div {max(n, 1)}").alias("file_idx")
     dealt = t.select(idx, "row", "embedding").repartition("file_idx").sortWithinPartitions("file_idx", "row")
     dealt.select("file_idx", "embedding").mapInArrow(write, "file_idx long").count()
+    if weight_map:
+        with fs.open_output_stream(path + "/model.safetensors.index.json") as f:
+            f.write(json.dumps({"weight_map": {f"up.{i}": name(i) for i in range(k)}}).encode())
+        return n, k
     files = spark.range(k).select(F.col("id").alias("file_idx"), F.format_string("part-%05d.safetensors", "id").alias("filename"))
     lo, hi = (F.expr(f"({n} * (id + {j})) div {k}") for j in (0, 1))
     tensors = spark.range(k).select(F.concat(F.lit("up."), F.col("id").cast("string")).alias("name"), F.lit("Shared").alias("kind"), F.array(hi - lo, F.lit(WIDTH).cast("bigint")).alias("shape"), F.lit("F32").alias("dtype"), F.col("id").alias("file_idx"))
@@ -505,18 +527,43 @@ def checkpoint_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headers(spark, files).select("file_idx", "name", "dtype", get("shape", 0).alias("s0"), get("shape", 1).alias("s1"), "begin", "end")
 
 
-@query(f"WITH {SQL_E} SELECT r::BIGINT AS row, c::BIGINT AS col, u FROM m")
-def checkpoint_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole embeddings table: files by rows -> four ranks by columns in size-capped shards -> fused file -> elements."""
-    from tesselar.operators.reshard import fuse, reshard
+SQL_UP = f"{SQL_K}, i AS (SELECT n, k, unnest(range(k)) AS i FROM k), up AS (SELECT i, 'up.' || i AS name, n * (i + 1) // k - n * i // k AS s0 FROM i)"
+
+
+@query(f"WITH {SQL_UP} SELECT i::BIGINT AS file_idx, name, 'Shared' AS kind, 'F32' AS dtype, s0::BIGINT AS s0, 64::BIGINT AS s1 FROM up")
+def weight_map_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topology of the embeddings table's checkpoint, from its index of names and files and the files' headers."""
+    from tesselar.plans.catalog import load_topology
+
+    folder = _checkpoint_folder(spark)
+    _write_table(spark, sf_dir, folder, weight_map=True)
+    t = load_topology(spark, folder)
+    return t.chunks.select("name", "file_idx").join(t.tensors, "name").select("file_idx", "name", "kind", "dtype", get("shape", 0).alias("s0"), get("shape", 1).alias("s1"))
+
+
+@query(
+    f"WITH {SQL_UP}, x AS (SELECT unnest(range(4)) AS f, name, s0, sum(s0 * 64) OVER (ORDER BY name) AS stop FROM up)"
+    " SELECT f::BIGINT AS file_idx, name, 'F32' AS dtype, s0::BIGINT AS s0, 16::BIGINT AS s1, (stop - s0 * 64)::BIGINT AS begin, stop::BIGINT AS \"end\" FROM x"
+)
+def header_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headers of the embeddings table's checkpoint after it was split over four ranks, a file each."""
+    from tesselar.operators.reshard import reshard
+    from tesselar.plans.catalog import load_topology, with_paths
+    from tesselar.sources.headers import headers
+
+    folder = _checkpoint_folder(spark)
+    _write_table(spark, sf_dir, folder + "/rows", weight_map=True)
+    reshard(spark, folder + "/rows", folder + "/four", WORLD)
+    files = with_paths(load_topology(spark, folder + "/four").files, folder + "/four")
+    return headers(spark, files).select("file_idx", "name", "dtype", get("shape", 0).alias("s0"), get("shape", 1).alias("s1"), "begin", "end")
+
+
+def _elements(spark: SparkSession, folder: str, n: int, k: int) -> DataFrame:
+    """(row, col, u) of T1, read by a plan over all tensors of its checkpoint."""
     from tesselar.operators.slices import Loader, Plan
     from tesselar.sources.headers import read_ranges
 
-    folder = _checkpoint_folder(spark)
-    n, k = _write_table(spark, sf_dir, folder + "/rows")
-    reshard(spark, folder + "/rows", folder + "/four", WORLD, max_shard_bytes=max(1, 2 * -(-n // k) * WIDTH * 4 // WORLD))
-    fuse(spark, folder + "/four", folder + "/back")
-    loader, plan = Loader(spark, folder + "/back"), Plan()
+    loader, plan = Loader(spark, folder), Plan()
     for i in range(k):
         plan.add_slice(loader.get_slice(f"up.{i}")[:])
 
@@ -530,3 +577,26 @@ def checkpoint_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cells = read_ranges(plan.ranges(loader)).select("name", "tgt_off", "payload").mapInArrow(decoded, "at long, v float")
     return cells.select(F.floor(F.col("at") / WIDTH).alias("row"), (F.col("at") % WIDTH).alias("col"), micro(F.col("v")).alias("u"))
+
+
+@query(f"WITH {SQL_E} SELECT r::BIGINT AS row, c::BIGINT AS col, u FROM m")
+def write_read_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole embeddings table: files with an index -> one fused file without a manifest -> elements."""
+    from tesselar.operators.reshard import fuse
+
+    folder = _checkpoint_folder(spark)
+    n, k = _write_table(spark, sf_dir, folder + "/rows", weight_map=True)
+    fuse(spark, folder + "/rows", folder + "/one")
+    return _elements(spark, folder + "/one", n, k)
+
+
+@query(f"WITH {SQL_E} SELECT r::BIGINT AS row, c::BIGINT AS col, u FROM m")
+def checkpoint_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole embeddings table: files by rows -> four ranks by columns in size-capped shards -> fused file -> elements."""
+    from tesselar.operators.reshard import fuse, reshard
+
+    folder = _checkpoint_folder(spark)
+    n, k = _write_table(spark, sf_dir, folder + "/rows")
+    reshard(spark, folder + "/rows", folder + "/four", WORLD, max_shard_bytes=max(1, 2 * -(-n // k) * WIDTH * 4 // WORLD))
+    fuse(spark, folder + "/four", folder + "/back")
+    return _elements(spark, folder + "/back", n, k)

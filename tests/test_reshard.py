@@ -167,3 +167,61 @@ def test_invalid(spark, case):
     with pytest.raises(TopologyError) as e:
         manifest(spark, case[1], [f"f{i}" for i in range(case[2])], case[2])
     assert e.value.code == case[0]
+
+
+def test_cli(spark, tmp_path, single, tensors, capsys):
+    from tesselar.__main__ import main
+
+    assert "topology.json" in main(["reshard", "--input-dir", str(single), "-o", str(tmp_path / "two"), "-t", "2", "--max-shard-bytes", "64"])
+    assert main(["fuse", "--input-dir", str(tmp_path / "two"), "--output-dir", str(tmp_path / "back")]) == ["model.safetensors"]
+    back = read_file(tmp_path / "back" / "model.safetensors")
+    assert set(back) == set(tensors) and all(np.array_equal(back[n].reshape(a.shape), a) for n, a in tensors.items())
+    assert "model.safetensors" in capsys.readouterr().out
+    assert not list((tmp_path / "two").glob(".writing*")) and not list((tmp_path / "back").glob(".writing*"))
+
+
+def test_tilings_overlaps_and_gaps_of_mixed_ranks(spark):
+    """Random boxes of ranks 0 to 3 against sets of cells."""
+    import random
+    from itertools import product
+
+    from tesselar.operators.validate import grid_gaps, overlapping_pairs, untiled
+
+    rng = random.Random(4)
+    rows, want, pairs = [], set(), set()
+    for k in range(60):
+        rank = k % 4
+        whole = [rng.randrange(1, 6) for _ in range(rank)]
+        boxes = [([0] * rank, list(whole))]
+        while rank and len(boxes) < 5:  # cut a box in two
+            o, s = boxes.pop(rng.randrange(len(boxes)))
+            d = rng.randrange(rank)
+            cut = rng.randrange(0, s[d] + 1)
+            boxes += [(o, s[:d] + [cut] + s[d + 1 :]), (o[:d] + [o[d] + cut] + o[d + 1 :], s[:d] + [s[d] - cut] + s[d + 1 :])]
+        if k % 3 == 1 and rank:  # spoil it
+            o, s = boxes[rng.randrange(len(boxes))]
+            s[0] = max(0, s[0] - 1)
+        if k % 5 == 2:
+            boxes.append(([0] * rank, [1] * rank))
+        cells = [set(product(*[range(a, a + b) for a, b in zip(o, s)])) for o, s in boxes]
+        count = {}
+        for c in cells:
+            for x in c:
+                count[x] = count.get(x, 0) + 1
+        if len(count) != np.prod(whole, dtype=int) or set(count.values()) - {1}:
+            want.add(f"t{k}")
+        pairs |= {(f"t{k}", i, j) for j in range(len(boxes)) for i in range(j) if cells[i] & cells[j]}
+        rows += [(f"t{k}", i, o, s, whole) for i, (o, s) in enumerate(boxes)]
+    df = spark.createDataFrame(rows, "name string, chunk_idx int, offsets array<bigint>, shape array<bigint>, tensor_shape array<bigint>").cache()
+    assert {r["name"] for r in untiled(df).collect()} == want and 10 < len(want) < 50
+    found = overlapping_pairs(df).collect()
+    assert {tuple(r) for r in found} == pairs and len(found) == len(pairs)
+    missing = {}
+    for name, i, o, s, whole in rows:
+        missing.setdefault(name, set(product(*map(range, whole)))).difference_update(product(*[range(a, a + b) for a, b in zip(o, s)]))
+    gaps = {}
+    for r in grid_gaps(df).collect():
+        assert len(r["lo"]) == len(r["hi"]) == int(r["name"][1:]) % 4
+        gaps.setdefault(r["name"], set()).update(product(*[range(a, b) for a, b in zip(r["lo"], r["hi"])]))
+    assert gaps == {n: m for n, m in missing.items() if m}
+    assert grid_gaps(df.limit(0)).count() == 0

@@ -38,10 +38,10 @@ def _removed(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def _repeat_words(words: Column, n: Column) -> Column:
-    """Words that lie in a three-word window whose words occur twice or more in the text."""
-    grams = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    return F.when(n < 4, F.array().cast("array<bigint>")).otherwise(grams)
+def _windows(words: Column, n: Column, of: object) -> Column:
+    """`of` the three words of each window of a text of n words."""
+    found = F.transform(F.sequence(F.lit(0), n - 3), lambda i: of(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    return F.when(n >= 4, found)
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_row: bool = False) -> DataFrame:
@@ -53,10 +53,12 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     df = df.withColumn("w", F.filter(F.split("t", WHITE + "+"), lambda x: x != ""))
     df = df.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumn("n", F.size("w"))
-    df = df.withColumn("grams", _repeat_words(F.col("w"), F.col("n")))
-    df = df.withColumn("again", F.size("grams") > F.size(F.array_distinct("grams")))
-    # (hash, place) pairs in order: a window repeats if a neighbour has its hash
-    pairs = F.when(F.col("again"), F.array_sort(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    df = df.withColumn("grams", _windows(F.col("w"), F.col("n"), F.xxhash64))
+    # hashes only tell texts in which no window can repeat
+    df = df.withColumn("again", F.coalesce(F.size("grams") > F.size(F.array_distinct("grams")), F.lit(False)))
+    # (window, place) pairs in order: a window repeats if a neighbour equals it; words hold no space
+    window = lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
+    pairs = F.when(F.col("again"), F.array_sort(F.transform(F.sequence(F.lit(0), F.col("n") - 3), lambda i: F.struct(window(i).alias("h"), i.alias("i")))))
     df = df.withColumn("pairs", pairs)
     same = lambda x, j, k: x["h"].eqNullSafe(F.get(F.col("pairs"), j + k)["h"])
     places = F.filter("pairs", lambda x, j: same(x, j, 1) | (same(x, j, -1) & (j > 0)))

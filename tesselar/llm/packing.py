@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tesselar.llm.bpe_automaton import WORDS, byte_letters
-from tesselar.llm.common import shuffle_partitions, stored
+from tesselar.llm.common import shuffle_partitions, slices, stored
 
 CAP = 2048
 END_ID = 0
@@ -67,7 +67,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, cap: int = CAP, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _tokenizers.get(tokenizer_path) or _tokenizers.setdefault(tokenizer_path, tokenizer(tokenizer_path))
-        for b in batches:
+        for b in slices(batches):
             rows: list[tuple] = []
             for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = encode(text or "") + end

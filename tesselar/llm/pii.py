@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tesselar.llm.common import fresh, stored
+from tesselar.llm.common import fresh, slices, stored
 
 #: The setting that holds the key; Spark redacts settings of such names.
 KEY_SETTING = "spark.tesselar.pii.secret"
@@ -357,7 +357,7 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = docs.select(F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [(h, *e) for h, t in zip(*(c.to_pylist() for c in b.columns)) for e in sorted({(e.type, e.canonical) for e in entities(t)})]
             types = (pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["h", "type", "canonical"])
@@ -373,7 +373,7 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         wide = docs.withColumn(h, F.xxhash64(F.col(text_col))).join(by_text, h, "left").select(*docs.columns, tries)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             more = b.column(lists).to_pylist() if b.num_columns > lists else [None] * b.num_rows
             done = [replaced(t, {(a["type"], a["canonical"]): a["attempt"] for a in m or ()}, key) for t, m in zip(b.column(place).to_pylist(), more)]
             columns = b.columns[:lists]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import WHITE, ascii_lower, dropped, fresh, join_stats, stored
+from tesselar.llm.common import WHITE, ascii_lower, dropped, fresh, join_stats, slices, stored
 
 SEED = 42
 SHARD_ROWS = 4000
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp) of every row; fingerprints are signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64), pa.int64())], ["id", "fp"])
 
@@ -92,7 +92,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     the rest describes its set of shingles of width words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps, sizes, bands, sketch = [], [], [], []
             for t in b.column(2).to_pylist():
                 fps.append(simhash(shingle_hashes(t, 2)))

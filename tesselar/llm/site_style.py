@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import join_stats, stored
+from tesselar.llm.common import join_stats, slices, stored
 
 MIN_IMPORTANCE = 0.3
 #: The weight of what children say against the number of styles of their parent.
@@ -218,7 +218,7 @@ def importances(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     """(host, node, m, styles, text, importance) of every style node: m different pages have it, in so many styles or texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows: list[tuple] = []
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found = list(style_nodes(dom(page or "")))
@@ -255,7 +255,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, {}
-        for b in batches:
+        for b in slices(batches):
             texts = []
             for host, page, low in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)):
                 if host != last:

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import shuffle_partitions, stored
+from tesselar.llm.common import shuffle_partitions, slices, stored
 
 WINDOW = 50
 GRAM = 16
@@ -250,13 +250,6 @@ def _texts(batch: pa.RecordBatch, versions: bool = False) -> list[tuple[int, int
     return [(i, zlib.crc32(t) if versions else 0, t) for i, t in zip(batch.column(0).to_pylist(), (x.encode("utf-8", "surrogatepass") if x else b"" for x in batch.column(1).to_pylist()))]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Fewer rows at a time, as texts are large."""
-    for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
-
-
 def two_words(lead: np.ndarray, following: np.ndarray) -> np.ndarray:
     """The 16 leading bytes of suffixes, comparable as bytes."""
     return np.stack([lead, following], axis=1).astype(">u8").view("S16").ravel()
@@ -307,7 +300,7 @@ def covered_segments(rows: DataFrame, cuts: np.ndarray, buckets: int, versions:
             held.clear()
             yield _dealt(out)
 
-        for b in _slices(batches):
+        for b in slices(batches):
             texts = _texts(b, versions)
             if not held:
                 ids.clear()
@@ -377,7 +370,7 @@ def shared_suffixes(texts: DataFrame, wanted: DataFrame, cuts: np.ndarray, bucke
             ids.clear(), held.clear()
             yield _dealt(out)
 
-        for b in _slices(batches):
+        for b in slices(batches):
             asked = b.column(2).to_pylist()
             for (id_, v, text), spans in zip(_texts(b, versions), asked):
                 spans = [s for s in spans if s["v"] == v]
@@ -443,7 +436,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = spans.where("kind = 0").unionByName(marks).groupBy("id").agg(F.collect_list(F.struct("v", "start", "size")).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in slices(batches):
             lists, out = b.column(2), []
             at = lists.offsets.to_numpy()  # into the whole batch's values
             v_, start, size = (lists.values.field(k).to_numpy().astype(np.int64) for k in range(3))

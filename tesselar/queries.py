@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.functions.boxes import ends, flat, overlap, product, strides, with_runs
+from tesselar.functions.boxes import ends, flat, overlap, product, strides
 from tesselar.operators import validate as v
 from tesselar.operators.slices import bounds, slice_elements
 from tesselar.plans import layout

@@ -13,7 +13,10 @@ from tesselar.plans.copy_plan import copy_plan
 from tesselar.plans.layout import MAX_SHARD_BYTES, byte_size, file_name, header_offsets, shard_files, split_chunks
 from tesselar.plans.model import Topology
 from tesselar.sources.headers import headers, open_fs
-from tesselar.sources.sink import TensorFiles
+from tesselar.sources.sink import TensorFiles, writes_anywhere
+
+#: Bytes of a target file that one task writes, about.
+PART_BYTES = 64 << 20
 
 
 def fused_topology(source: Topology) -> Topology:
@@ -61,14 +64,19 @@ def redistribute(
     files = with_paths(source.files, source_dir)
     plan = copy_plan(source, headers(spark, files).cache(), target)
     paths = files.select(F.col("file_idx").alias("src_file"), F.col("path").alias("src"))
-    head = file_headers(target, metadata).select("file_idx", "filename", "header", F.lit(-1).cast("bigint").alias("seq"))  # a row a file
-    ranges = plan.join(paths, "src_file").join(target.files.select(F.col("file_idx").alias("tgt_file"), "filename"), "tgt_file")
-    ranges = ranges.select(F.col("tgt_file").alias("file_idx"), "filename", F.col("tgt_pos").alias("seq"), "src", "src_start", F.col("src_end").alias("src_stop"))
-    rows = head.unionByName(ranges, allowMissingColumns=True).select("file_idx", "filename", "header", "seq", "src", "src_start", "src_stop")
+    head = file_headers(target, metadata).withColumn("base", 8 + F.octet_length("header").cast("bigint")).cache()  # a row a file
+    at = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("src_end") - F.col("src_start") - 1, F.lit(PART_BYTES).cast("bigint"))).alias("at")
+    ranges = plan.select("*", at).join(paths, "src_file").join(head.select(F.col("file_idx").alias("tgt_file"), "filename", "base"), "tgt_file")
+    stop = F.least("src_end", F.col("src_start") + F.col("at") + PART_BYTES).alias("src_stop")
+    ranges = ranges.select(F.col("tgt_file").alias("file_idx"), "filename", "base", (F.col("tgt_pos") + F.col("at")).alias("seq"), "src", (F.col("src_start") + F.col("at")).alias("src_start"), stop)
+    rows = head.withColumn("seq", F.lit(-1).cast("bigint")).unionByName(ranges, allowMissingColumns=True)
+    rows = rows.select("file_idx", "filename", "header", "base", "seq", "src", "src_start", "src_stop")
     fs, folder = open_fs(target_dir)
     fs.create_dir(folder, recursive=True)
     spark.dataSource.register(TensorFiles)
-    dealt = rows.repartition("file_idx").sortWithinPartitions("file_idx", "seq")
+    # parts of a file go to several tasks where the file system allows it
+    part = [F.floor(F.col("seq") / PART_BYTES)] if writes_anywhere(target_dir) else []
+    dealt = rows.repartition("file_idx", *part).sortWithinPartitions("file_idx", "seq")
     dealt.write.format("tensorfiles").option("path", target_dir).option("manifest", manifest_json(target)).mode("append").save()
     names = [r["filename"] for r in target.files.orderBy("file_idx").collect()]
     return names + (["topology.json"] if target.world_size > 1 else [])

@@ -169,6 +169,39 @@ def test_invalid(spark, case):
     assert e.value.code == case[0]
 
 
+def test_parts_of_a_file_are_written_by_several_tasks(spark, tmp_path, single, tensors, monkeypatch):
+    from tesselar.operators import reshard as module
+
+    monkeypatch.setattr(module, "PART_BYTES", 24)
+    fuse(spark, str(single), str(tmp_path / "one"))
+    back = read_file(tmp_path / "one" / "model.safetensors")
+    assert set(back) == set(tensors) and all(np.array_equal(back[n].reshape(a.shape), a) for n, a in tensors.items())
+    assert sorted(p.name for p in (tmp_path / "one").iterdir()) == ["model.safetensors", "topology.json"]
+
+
+def test_both_ways_of_writing_agree(tmp_path):
+    """Rows in order appended, and the same rows in any order and by several attempts, each at its place."""
+    from types import SimpleNamespace as Row
+
+    from tesselar.sources.sink import TensorWriter
+
+    source = tmp_path / "source"
+    source.write_bytes(bytes(range(200)))
+    rows = []
+    for f, header in (("a", "{} "), ("b", '{"x":1}')):
+        rows.append(Row(filename=f, header=header, base=8 + len(header), seq=-1, src=None, src_start=None, src_stop=None))
+        rows += [Row(filename=f, header=None, base=8 + len(header), seq=20 * k, src=str(source), src_start=50 + 7 * k, src_stop=70 + 7 * k) for k in range(4)]
+    for name in ("whole", "parts"):
+        (tmp_path / name).mkdir()
+        writer = TensorWriter(str(tmp_path / name), "{}")
+        done = [writer._whole(iter(rows))] if name == "whole" else [writer._parts(iter(part)) for part in (rows[::-2], rows[:3], rows[::-1], [])]
+        writer.commit(done)
+    for f, header in (("a", "{} "), ("b", '{"x":1}')):
+        want = len(header).to_bytes(8, "little") + header.encode() + b"".join(bytes(range(50 + 7 * k, 70 + 7 * k)) for k in range(4))
+        assert (tmp_path / "whole" / f).read_bytes() == (tmp_path / "parts" / f).read_bytes() == want
+    assert sorted(p.name for p in (tmp_path / "parts").iterdir()) == ["a", "b", "topology.json"]
+
+
 def test_cli(spark, tmp_path, single, tensors, capsys):
     from tesselar.__main__ import main
 

@@ -16,6 +16,7 @@ sketches, so that only texts that are very likely near copies are fetched for th
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,6 +39,8 @@ _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 31, (BANDS * BAND_RO
 SKETCH, SIGMAS = BANDS * BAND_ROWS // 2, 6
 #: Members of a band that a task holds at a time.
 CHUNK = 1024
+#: By how much more partners each round of pairs tries.
+GROW = 8
 
 
 def shingle_hashes(text: str | None, width: int = 3) -> np.ndarray:
@@ -270,10 +273,14 @@ def with_shingles(rows: DataFrame, text_col: str, width: int = 5) -> DataFrame:
     return rows.withColumn("shingles", F.array_distinct(grams)).drop("__words")
 
 
-def _alike(one: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether the sketches of each pair agree as those of texts of the similarity do."""
-    least = SKETCH * similarity - SIGMAS * np.sqrt(SKETCH * similarity * (1 - similarity))
-    return (one == other).sum(axis=1) >= least
+def _least(similarity: float) -> float:
+    """In how many bytes the sketches of texts of the similarity agree at least."""
+    return SKETCH * similarity - SIGMAS * np.sqrt(SKETCH * similarity * (1 - similarity))
+
+
+def _agreement(one: list[bytes], other: list[bytes]) -> np.ndarray:
+    """In how many bytes the sketches of each pair agree."""
+    return (np.frombuffer(b"".join(one), np.uint8) == np.frombuffer(b"".join(other), np.uint8)).reshape(-1, SKETCH).sum(axis=1)
 
 
 def _pairs(a: list, b: list) -> pa.RecordBatch:
@@ -303,9 +310,9 @@ def neighbours(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def mixed_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (a, b) of members(key, row, root, size, sketch) of one key and different roots, whose sizes and sketches allow
-    the similarity.
+def mixed_pairs(members: DataFrame, similarity: float, best: int) -> DataFrame:
+    """(a, b, more) of members(key, row, root, size, sketch) of one key and different roots, whose sizes and sketches allow
+    the similarity: for each member the `best` by sketch, and whether it has more.
 
     Only the members outside the key's most frequent root are compared, with all of the key, in blocks: no task
     holds more than about CHUNK of them, however large the key is.
@@ -322,19 +329,34 @@ def mixed_pairs(members: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
+        near: dict[int, list[tuple[int, int]]] = {}  # by held row: heaps of (agreement, row)
+        overflowed: set[int] = set()
         one, other = [], []
 
-        def out() -> pa.RecordBatch:
-            sides = [np.frombuffer(b"".join(x[3] for x in s), np.uint8).reshape(-1, SKETCH) for s in (one, other)]
-            good = np.flatnonzero(_alike(*sides, similarity))
-            found = {(max(p), min(p)) for p in ((one[i][0], other[i][0]) for i in good)}
+        def weigh() -> None:
+            agree = _agreement([x[3] for x in one], [y[3] for y in other])
+            for i in np.flatnonzero(agree >= _least(similarity)).tolist():
+                heap, item = near.setdefault(other[i][0], []), (int(agree[i]), one[i][0])
+                if len(heap) < best:
+                    heapq.heappush(heap, item)
+                else:
+                    heapq.heappushpop(heap, item)
+                    overflowed.add(other[i][0])
             one.clear(), other.clear()
-            return _pairs([a for a, _ in found], [b for _, b in found])
+
+        def ended() -> pa.RecordBatch:
+            if one:
+                weigh()
+            rows = [(max(x, y), min(x, y), y in overflowed) for y, heap in near.items() for _, x in heap]
+            near.clear(), overflowed.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "more"])
 
         for b in batches:
             keys = zip(*(b.column(k).to_pylist() for k in (0, 5, 6)))
             for k, side, x in zip(keys, b.column(7).to_pylist(), zip(*(b.column(k).to_pylist() for k in range(1, 5)))):
                 if k != group:
+                    if near or one:
+                        yield ended()
                     group, held = k, []
                 if side == 0:
                     held.append(x)
@@ -343,15 +365,17 @@ def mixed_pairs(members: DataFrame, similarity: float) -> DataFrame:
                     if x[1] != y[1] and min(x[2], y[2]) >= similarity * max(x[2], y[2]):
                         one.append(x), other.append(y)
                 if len(one) > 1 << 15:
-                    yield out()
-        yield out()
+                    weigh()
+        if near or one:
+            yield ended()
 
     dealt = held.unionByName(met).repartition("key", "salt", "block").sortWithinPartitions("key", "salt", "block", "side")
-    return dealt.select(*kept, "salt", "block", "side").mapInArrow(run, "a long, b long").distinct()
+    found = dealt.select(*kept, "salt", "block", "side").mapInArrow(run, "a long, b long, more boolean")
+    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 6, agree: int = 2, shard_rows: int = SHARD_ROWS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 2, agree: int = 2, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
     """(id_col, text_hash, copies, component_id) of the rows of groups of near copies that don't stay.
 
@@ -363,7 +387,8 @@ def near_copies(
 
     Candidates are linked neighbours in BK-trees of SimHash fingerprints (radius bits, two-word shingles) and in MinHash
     bands; their links are checked exactly.  Then all pairs that share a band and aren't in one component yet are
-    checked too, so the groups depend neither on shards nor on the first candidates.
+    checked too, so the groups depend neither on shards nor on the first candidates: in rounds, each text first with the
+    one most like it, then with the GROW most alike, and so on, as a dense group is joined in the first rounds.
     """
     found = sketches(docs, id_col, text_col)
     found = stored(found.withColumn("row", F.monotonically_increasing_id()), "sketches")  # written once, then fixed
@@ -372,8 +397,7 @@ def near_copies(
     def alike(edges: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                sides = [np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (2, 3)]
-                good = pa.array(_alike(*sides, similarity))
+                good = pa.array(_agreement(b.column(2).to_pylist(), b.column(3).to_pylist()) >= _least(similarity))
                 yield pa.RecordBatch.from_arrays([b.column(k).filter(good) for k in (0, 1)], ["a", "b"])
 
         one, other = (found.select(F.col("row").alias(c), F.col("sketch").alias("s" + c), F.col("size").alias("n" + c)) for c in ("a", "b"))
@@ -402,16 +426,22 @@ def near_copies(
     held = holding(tried)
     roots = components(held)
     for some in ("band < 4", "band >= 4"):  # the first bands join most of a group, which spares pairs in the others
-        rooted = bands.where(some).join(roots, bands["row"] == roots["node"], "left").select("key", "row", "size", F.coalesce("root", "row").alias("root"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-        rooted = stored(rooted.join(mixed, "key").join(found.select("row", "sketch"), "row"), "mixed-bands")
-        edges = stored(mixed_pairs(rooted, similarity).join(tried, ["a", "b"], "left_anti"), "candidate-links")
-        dropped(rooted)
-        tried = tried.unionByName(edges)
-        more = holding(edges)
-        if not more.isEmpty():
-            held = held.unionByName(more)
-            roots = components(held)
+        best = 1
+        while True:
+            rooted = bands.where(some).join(roots, bands["row"] == roots["node"], "left").select("key", "row", "size", F.coalesce("root", "row").alias("root"))
+            mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+            rooted = stored(rooted.join(mixed, "key").join(found.select("row", "sketch"), "row"), "mixed-bands")
+            pairs = stored(mixed_pairs(rooted, similarity, best), "mixed-pairs")
+            dropped(rooted)
+            edges = stored(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "candidate-links")
+            tried = tried.unionByName(edges)
+            more = holding(edges)
+            if not more.isEmpty():
+                held = held.unionByName(more)
+                roots = components(held)
+            if pairs.where("more").isEmpty():
+                break
+            best *= GROW
     return _leaving(found, roots).select(F.col("id").alias(id_col), F.col("h").alias("text_hash"), "copies", "component_id")
 
 

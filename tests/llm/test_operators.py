@@ -672,8 +672,10 @@ def test_bands_try_every_pair(spark, monkeypatch):
     rows = [(key, 100 * key + i, 100 * key + (i if i % 3 == 0 else 1), 10, bytearray(simhash.SKETCH)) for key, n in ((7, 2), (8, 13), (9, 1)) for i in range(n)]
     members = spark.createDataFrame(rows, "key long, row long, root long, size long, sketch binary")
     want = {(b[1], a[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2]}
-    pairs = simhash.mixed_pairs(members, 0.8).collect()
-    assert {tuple(r) for r in pairs} == want and len(pairs) == len(want)
+    pairs = simhash.mixed_pairs(members, 0.8, 100).collect()
+    assert {(r["a"], r["b"]) for r in pairs} == want and len(pairs) == len(want) and not any(r["more"] for r in pairs)
+    few = simhash.mixed_pairs(members, 0.8, 1).collect()
+    assert {(r["a"], r["b"]) for r in few} < want and any(r["more"] for r in few)
     # first candidates join all parts of a large key
     monkeypatch.setattr(simhash, "CHUNK", 10)
     chains = simhash.neighbours(spark.createDataFrame([(1, i, 40) for i in range(40)] + [(2, i, 2) for i in (50, 51)], "key long, row long, n long")).collect()
